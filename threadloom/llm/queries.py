@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import encode, mixture, pairs, terms
+from threadloom.llm import encode, mixture, pairs, sentences, terms, unify
 from threadloom.session import materialise, spread, table
 
 PAIR_LEAST = 4
@@ -33,6 +33,18 @@ def p1_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _marked_terms(spark, sf_dir)
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of strings that read the same but differ in their code points."""
+    pairs_ = unify.same_to_the_eye(spread(_strings(spark, sf_dir), "id"), keep=materialise)
+    return pairs_.select(F.col("a").alias("string_id_a"), F.col("b").alias("string_id_b"))
+
+
+def p3_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's text in the consistent form, with its alignment to the original."""
+    rows = table(spark, sf_dir, "mapped_string").select(F.col("string_id").alias("id"), "text", "alignment", "original")
+    return unify.unify_strings(spread(rows, "id")).withColumnRenamed("id", "string_id")
+
+
 def _associations(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "cooccurrence")
     counted = pairs.pair_counts(pairs.pair_records(records))
@@ -54,6 +66,18 @@ def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _associations(spark, sf_dir).withColumns(rounded)
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of every sentence of every string."""
+    found = sentences.split_sentences(_strings(spark, sf_dir))
+    return found.select(F.col("id").alias("string_id"), "start_pos", "end_pos")
+
+
+def p5_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence of every document, with its place."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return sentences.split_sentences(spread(docs, "id")).withColumnRenamed("id", "doc_id")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return encode.encode_corpus(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
@@ -86,7 +110,8 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_terms": p1_terms, "p4_found": p4_found, "p4_pairs": p4_pairs, "p6_ids": p6_ids,
+    "p1_found": p1_found, "p1_terms": p1_terms, "p3_found": p3_found, "p3_unified": p3_unified, "p4_found": p4_found,
+    "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_sentences": p5_sentences, "p6_ids": p6_ids,
     "p6_roundtrip": p6_roundtrip, "p7_copies": p7_copies, "p7_report": p7_report,
 }
 
