@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import encode, mixture, pairs, sentences, terms, unify
+from threadloom.llm import encode, mixture, pairs, pii, sentences, terms, unify
 from threadloom.session import materialise, spread, table
 
 PAIR_LEAST = 4
@@ -109,10 +109,27 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mixture_report(*_mixture(spark, sf_dir))
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the personal information of every document."""
+    docs = _documents(spark, sf_dir)
+    return pii.find_personal(docs, *pii.train(docs)).withColumnRenamed("id", "doc_id")
+
+
+def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with typed placeholders in place of personal information."""
+    docs = _documents(spark, sf_dir)
+    return pii.replace_personal(docs, *pii.train(docs)).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_terms": p1_terms, "p3_found": p3_found, "p3_unified": p3_unified, "p4_found": p4_found,
     "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_sentences": p5_sentences, "p6_ids": p6_ids,
-    "p6_roundtrip": p6_roundtrip, "p7_copies": p7_copies, "p7_report": p7_report,
+    "p6_roundtrip": p6_roundtrip, "p7_copies": p7_copies, "p7_report": p7_report, "p8_found": p8_found,
+    "p8_redacted": p8_redacted,
 }
 
 _TERMS = r"""

@@ -104,7 +104,8 @@ class _Words:
         for words, kind in ((MAYBE_LAST, MAYBE), (NEVER_LAST, NEVER)):
             for w in words:
                 for form in ("NFC", "NFD"):
-                    rules["".join(map(_fold, unicodedata.normalize(form, w))) + "."] = kind
+                    rule = "".join(map(_fold, unicodedata.normalize(form, w))) + "."
+                    rules |= {rule: kind, rule.replace("fi", "ﬁ"): kind}
         for w in BEFORE_DAY:
             rules |= {f"{''.join(map(_fold, w))} {'#' * n}.": NEVER for n in (1, 2)}
         self.children: list[dict[str, int]] = [{}]
