@@ -48,7 +48,7 @@ N_SYMBOLS = 28
 _CHARS = {
     EX: "!?‽⁇⁈⁉", STRONG: "。！？｡．।॥۔؟။።፧᙮", ELL: "…⋯", OPEN_C: "“‟", OPEN_L: "„‚", OPEN_G: "«‹", OPEN_K: "「『《〈",
     CLOSE_C: "”", CLOSE_G: "»›", CLOSE_K: "」』》〉", STRAIGHT: "\"＂", OPEN_B: "([{（［【〔", CLOSE_B: ")]}）］】〕",
-    DASH: "-‐‑‒–—―", COLON: ":：", COMMA: ",;，；、،؛", NL: "\n\x0b\x0c\x85  ", SP: "\t",
+    DASH: "-‐‑‒–—―", COLON: ":：", COMMA: ",;，；、،؛", NL: "\n\x0b\x0c\x85\u2028\u2029", SP: "\t",
     SKIP: "\r",
 }
 

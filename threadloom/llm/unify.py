@@ -48,7 +48,7 @@ def _doubles_in(alphabet: str) -> dict[str, str]:
 
 
 _IN = {name: _doubles_in(name) for name in ("CYRILLIC", "GREEK")}
-_FILLERS = frozenset("͏ᅟᅠ឴឵᠋᠌᠍ㅤﾠ") | {chr(c) for c in range(0xFE00, 0xFE10)}
+_FILLERS = frozenset("\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u3164\uffa0") | {chr(c) for c in range(0xFE00, 0xFE10)}
 
 
 def is_invisible(c: str) -> bool:
@@ -97,7 +97,7 @@ def _segment(text: str, start: int, end: int) -> tuple[str, list[int]]:
     for k in range(start, end):
         c = text[k]
         if is_invisible(c):
-            joins = c == "‍" and 0 < k < len(text) - 1
+            joins = c == "\u200d" and 0 < k < len(text) - 1
             if not (joins and unicodedata.category(text[k + 1]) == "So" and unicodedata.category(text[k - 1]) in ("So", "Sk", "Mn")):
                 continue
         elif unicodedata.category(c) == "Zs":
