@@ -93,7 +93,8 @@ def associations(pairs: DataFrame, tokens: DataFrame, n: int) -> DataFrame:
 
     lift is n * n_ab / (n_a * n_b). log_odds is the logarithm of the odds ratio of the
     2 x 2 table of sentences, with the continuity correction of 0.5 in each cell, so it is
-    finite when a cell is empty. The token counts are joined without a hint: the size of
+    finite when a cell is empty. Tokens of one sentence that are too far apart for a record
+    do not meet, so n - n_a - n_b + n_ab may fall below 0; the last cell is 0 then. The token counts are joined without a hint: the size of
     the vocabulary decides on the strategy at run time.
     """
     a = tokens.select(F.col("token").alias("token_a"), F.col("n").alias("n_a"))
@@ -101,7 +102,7 @@ def associations(pairs: DataFrame, tokens: DataFrame, n: int) -> DataFrame:
     both = pairs.join(a, "token_a").join(b, "token_b")
     n11, total = F.col("n_ab"), F.lit(int(n))
     n10, n01 = F.col("n_a") - n11, F.col("n_b") - n11
-    n00 = total - F.col("n_a") - F.col("n_b") + n11
+    n00 = F.greatest(total - F.col("n_a") - F.col("n_b") + n11, F.lit(0))
     lift = total * n11 / (F.col("n_a") * F.col("n_b"))
     odds = (n11 + 0.5) * (n00 + 0.5) / ((n10 + 0.5) * (n01 + 0.5))
     return both.select(

@@ -37,6 +37,8 @@ BROADCAST_NAMES = 200_000
 DIMENSIONS = 1 << 14
 
 YES, NO = 1, 2
+#: Least weight of a vote for and of a vote against, largest of an abstention, in log odds.
+FOR, AGAINST, SILENCE = 1.0, 2.5, 0.3
 
 _WORD = r"[\p{Lu}][\p{Ll}\p{M}’]+"
 _CAPS = r"\p{Lu}[\p{Lu}\p{M}]{2,}"
@@ -195,7 +197,7 @@ def _emails(form: str) -> Iterator[Span]:
             YES if "@" in at or "＠" in at else 0,
             YES if regex.search(r"[\[(]", at) else 0,
             YES if regex.search(r"dot", host, regex.I) else 0,
-            YES if top.isalpha() and 2 <= len(top) <= 12 else NO,
+            0 if top.isalpha() and 2 <= len(top) <= 12 else NO,
             YES if _BEFORE[EMAIL].search(before) else 0,
             NO if after[:1] == "/" or before.endswith("/") or (spelled and not regex.search(r"[._+\d-]", m["local"]) and "dot" not in host) else 0,
             NO if regex.fullmatch(r"v?\d[\d.]*(?:-\w+)?", host) else 0,
@@ -289,7 +291,7 @@ def _names(form: str, known: Callable[[str], tuple[int, int] | None]) -> Iterato
                 continue
             sentence_start = not before or regex.search(r"[.!?。:\n]\s*$", before) is not None
             yield Span(NAME, start, end, (
-                YES if hit is not None else NO,
+                YES if hit is not None else 0 if titled or initials else NO,
                 YES if titled else 0,
                 YES if _BEFORE_NAME.search(before) else 0,
                 YES if _AFTER_NAME.match(after) else 0,
@@ -331,16 +333,19 @@ def features(form: str, s: Span) -> list[int]:
 
 # ------------------------------------------------------------------- training
 
-def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60, prior: float = 4.0) -> tuple[np.ndarray, np.ndarray, float]:
+def em(
+    patterns: np.ndarray, counts: np.ndarray, rounds: int = 60, prior: float = 4.0, least_for: float = FOR, least_against: float = AGAINST, silence: float = SILENCE
+) -> tuple[np.ndarray, np.ndarray, float]:
     """Reliabilities of the labelers by expectation maximisation over vote patterns.
 
     ``patterns`` (n x labelers) with 0 abstain, 1 yes, 2 no, ``counts`` their frequencies.
     Returns the probability of each pattern being personal, P(vote | class) as (2 x
-    labelers x 3) and the prior. A Dirichlet prior says that labelers err less than half
-    the time, which tells the two classes apart.
+    labelers x 3) and the prior. Labelers are taken to be better than chance: a vote for or
+    against never counts the other way, and silence counts little. This tells the two
+    classes apart and keeps groups of labelers that never vote together in one class.
     """
     yes, no = (patterns == YES).sum(1), (patterns == NO).sum(1)
-    post = 1 / (1 + np.exp(-(yes - 1.5 * no - 0.5).astype(float)))
+    post = 1 / (1 + np.exp(-(FOR * yes - max(least_against, FOR) * no - 0.5).astype(float)))
     total = counts.sum()
     table = np.zeros((2, patterns.shape[1], 3))
     share = 0.5
@@ -352,7 +357,10 @@ def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60, prior: float
             lean = np.array([prior, 2 * prior if y else prior / 2, prior / 2 if y else 2 * prior])
             table[y] = (table[y] + lean) / (table[y] + lean).sum(1, keepdims=True)
         rows = np.arange(patterns.shape[1])
-        score = np.log(share) - np.log(1 - share) + (np.log(table[1][rows, patterns]) - np.log(table[0][rows, patterns])).sum(1)
+        weight = np.log(table[1]) - np.log(table[0])
+        weight[:, YES], weight[:, NO] = np.maximum(weight[:, YES], least_for), np.minimum(weight[:, NO], -least_against)
+        weight[:, 0] = np.clip(weight[:, 0], -silence, silence)
+        score = np.log(share) - np.log(1 - share) + weight[rows, patterns].sum(1)
         post = 1 / (1 + np.exp(-np.clip(score, -40, 40)))
     return post, table, share
 

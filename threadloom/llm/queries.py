@@ -173,6 +173,6 @@ SQL = {
         WHERE n_ab >= 4 AND n_ab >= 0.001 * n AND n * n_ab >= 4 * n_a * n_b""",
     "p4_pairs": _PAIRS + """SELECT token_a, token_b, n_ab, n_a, n_b, round(total_value, 4) AS total_value,
         round(n * n_ab / (n_a * n_b)::DOUBLE, 6) AS lift, round(log2(n * n_ab / (n_a * n_b)::DOUBLE), 6) AS pmi,
-        round(ln((n_ab + 0.5) * (n - n_a - n_b + n_ab + 0.5) / ((n_a - n_ab + 0.5) * (n_b - n_ab + 0.5))), 6) AS log_odds
+        round(ln((n_ab + 0.5) * (greatest(n - n_a - n_b + n_ab, 0) + 0.5) / ((n_a - n_ab + 0.5) * (n_b - n_ab + 0.5))), 6) AS log_odds
         FROM scored""",
 }

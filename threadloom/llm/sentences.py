@@ -409,7 +409,7 @@ class Splitter:
             s, w = self._symbols(points[k][a - warm[n] : b])
             top = lead - warm[n]
             sent[top : top + len(s), n], word[top : top + len(w), n] = s, w
-        state = np.array([self.words.dead if a else 0 for _, a, _ in pieces], dtype=np.int64)
+        state = np.array([self.words.dead if a > WARM_UP else 0 for _, a, _ in pieces], dtype=np.int64)
         _, kinds = self._run(self.words.after, self.words.symbols, word, state, self.words.out)
         return np.where(kinds > 0, kinds, sent)[lead:]
 
