@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -291,12 +292,12 @@ class Model:
 
         @F.pandas_udf("array<double>")
         def run(xs):
-            ok = xs.notna()
-            out = xs.astype(object).where(False, None)
-            if ok.any():
-                y = model.forward(np.array([np.asarray(v, dtype=float) for v in xs[ok]]))
-                out[ok] = list(y)
-            return out
+            ok = [k for k, v in enumerate(xs) if v is not None]
+            out = [None] * len(xs)
+            if ok:
+                for k, y in zip(ok, model.forward(np.array([np.asarray(xs.iloc[k], dtype=float) for k in ok])), strict=True):
+                    out[k] = y
+            return pd.Series(out, dtype=object)
 
         return rows.withColumn(output, run(F.col(features).cast("array<double>")))
 
