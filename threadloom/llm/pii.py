@@ -40,7 +40,7 @@ YES, NO = 1, 2
 #: Least weight of a vote for and of a vote against, largest of an abstention, in log odds.
 FOR, AGAINST, SILENCE = 1.0, 2.5, 0.3
 
-_WORD = r"[\p{Lu}][\p{Ll}\p{M}’]+"
+_WORD = r"\p{Lu}[\p{Ll}\p{M}]+(?:’\p{Lu}[\p{Ll}\p{M}]+)?"
 _CAPS = r"\p{Lu}[\p{Lu}\p{M}]{2,}"
 _PART = rf"(?:{_WORD}|{_CAPS})(?:-(?:{_WORD}|{_CAPS}))*"
 _FREE = r"(?<![\p{Latin}\p{Cyrillic}\p{Greek}\p{M}\p{Nd}_@./\\+-])"
@@ -65,14 +65,15 @@ BEFORE_PHONE = (
 BEFORE_ID = r"(?:[Pp]assport(?: or SSN)?|SSN|PESEL|\bID|nr|Nr|[Dd]owód|Steuer-?ID|sécu|[Пп]аспорт|身份证号?|tax form says|NINO|drop|ИНН|СНИЛС|insurance number)[ .:：#(]*$"
 BEFORE_ADDRESS = r"(?:lives at|near|notes to|[Ss]end(?: it)? to|label:[^\n]*,|desk \(|przy|adres|Faktura:[^\n]*,|an|au|Адрес[^\n:]*:|寄到|資料は|Autorin:[^\n]*,|at|in)[ :]*$"
 NOT_PERSONAL = r"(?:seeds?|[Ss]eeds|[Hh]ash|[Bb]atch|[Ss]hape|run id|step|tokens:?|[Ss]izes?|[Tt]iming|version|line|Section|loss|acc|ids|and|took|on|row|v|no\.|No\.|Nr\.|Fig\.|Eq\.|Sec\.)[ =:#(/,]*[\d ,]*$"
-STREETS = "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Close|Court|Ct|Way|Square|Sq|Place|Pl|Terrace|Crescent|Boulevard|Blvd"
+#: A stop after an abbreviated street belongs to it; after "St" only where no sentence can end.
+STREETS = r"(?:Street|Avenue|Road|Lane|Drive|Close|Court|Way|Square|Place|Terrace|Crescent|Boulevard)\b|(?:Ave|Rd|Ln|Dr|Ct|Sq|Pl|Blvd)\b\.?|St\b(?:\.(?=[,;]| \p{Ll}))?"
 
 _CAP = r"\p{Lu}[\p{L}\p{M}’'-]+"
 _TOWN = rf"{_CAP}(?: {_CAP}){{0,2}}"
 _EN_CODE = r"(?:,? [A-Z]{2} \d{5}(?:-\d{4})?| [A-Z]{1,2}\d{1,2}[A-Z]? \d[A-Z]{2})"
 _GAP = r"(?:, ?\n?| ?\n)"
 _ADDRESSES = [
-    rf"\d{{1,5}}[A-Za-z]? (?:{_CAP} ){{1,3}}(?:{STREETS})\b\.?(?:, (?:Flat|Apt|Apartment|Unit|Suite)\.? ?\w{{1,4}}\b)?(?:{_GAP}{_TOWN}{_EN_CODE}|, {_TOWN}(?=[.;,)\n]| [\p{{Ll}}]|$)|\n{_TOWN}(?=[.;)\n]| and |$))?",
+    rf"\d{{1,5}}[A-Za-z]? (?:{_CAP} ){{1,3}}(?:{STREETS})(?:, (?:Flat|Apt|Apartment|Unit|Suite)\.? ?\w{{1,4}}\b)?(?:{_GAP}{_TOWN}{_EN_CODE}|, {_TOWN}(?=[.;,)\n]| [\p{{Ll}}]|$)|\n{_TOWN}(?=[.;)\n]| and |$))?",
     rf"(?:\p{{Lu}}[\p{{L}}\p{{M}}-]*(?:straße|strasse|str\.|gasse|weg|allee|platz|ring|damm|ufer|steig)|{_CAP} (?:Straße|Str\.|Gasse|Weg|Allee|Platz|Ring|Damm)|(?:Am|An der|Im|Zum|Zur|Auf dem|Unter den|In der) {_CAP}) \d{{1,4}}(?: ?[a-z]\b)?(?:{_GAP}\d{{5}} {_TOWN})?",
     rf"(?:ul\.|ulica|ulicy|al\.|aleja|alei|os\.|osiedle|pl\.|plac) {_CAP}(?: {_CAP}){{0,2}} \d{{1,4}}[A-Za-z]?(?:/\d+)?(?: m\. ?\d+)?(?:{_GAP}\d\d-\d{{3}} {_TOWN})?",
     rf"\d{{1,4}}(?: bis| ter)?,? (?:rue|avenue|av\.|bd|boulevard|impasse|place|chemin|allée|quai|cours)(?: (?:de la|de l’|de l'|du|des|de))? ?{_CAP}(?: (?:de |du |des )?{_CAP}){{0,3}}(?:{_GAP}\d{{5}} {_TOWN})?",
@@ -85,7 +86,7 @@ ADDRESS_RE = regex.compile("|".join(f"(?<![\\p{{Latin}}\\p{{Cyrillic}}\\p{{Nd}}]
 _DOMAIN = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 EMAIL_RE = regex.compile(
     rf"(?<![\p{{Latin}}\p{{Nd}}._%+/-])(?P<local>[A-Za-z0-9][A-Za-z0-9._%+-]*)(?P<at>[@＠]| ?[\[(] ?(?:at|AT) ?[\])] ?| (?:at|AT) )"
-    rf"(?P<host>{_DOMAIN}(?:(?:\.| ?[\[(]?(?<=[ \[(])(?:dot|DOT)[\])]? ?){_DOMAIN})+)(?![A-Za-z0-9]|\.\w|-\w)"
+    rf"(?P<host>{_DOMAIN}(?:(?:\.| ?[\[(]?(?<=[ \[(])(?:dot|DOT)[\])]? ?){_DOMAIN})*(?:\.| ?[\[(]?(?<=[ \[(])(?:dot|DOT)[\])]? ?)[A-Za-z]{{2,24}})(?![A-Za-z0-9]|\.\w|-\w)"
 )
 NUMBER_RE = regex.compile(r"(?<![\p{Latin}\p{Nd}_.,:/+-])(?:\+|\(\+)?\(?\d(?:[ ().\-/]{0,2}\d){7,17}(?![\p{Latin}\p{Nd}_:/]|[-.,]\p{Nd}|-\p{L})")
 PHONE_SHAPES = [
@@ -101,7 +102,7 @@ ID_RE = regex.compile(
     r"|[1-8] ?\d{2} ?\d{2} ?\d[\dAB] ?\d{3} ?\d{3} ?\d{2}|\d{5} \d{3} \d{3}|\d{2} \d{3} \d{3} \d{3}|\d{11})(?![\p{Latin}\p{Nd}_:/]|[-.,]\p{Nd}|-\p{L})"
 )
 ID_STRONG = regex.compile(r"" + _ID_LETTER + r"{2} ?\d{2} ?\d{2} ?\d{2} ?" + _ID_END + r"|" + _ID_LETTER + r"{2}\d{7}|" + _ID_LETTER + r"{3} ?\d{6}|\d{3}[- ]\d{2}[- ]\d{4}|\d{17}[\dXx]")
-NAME_RE = regex.compile(rf"{_FREE}(?:{_INITIALS}{_PART}|{_PART}(?:,? {_PART}){{0,3}}){_DONE}")
+NAME_RE = regex.compile(rf"{_FREE}(?:(?<!\d ){_INITIALS}{_PART}|{_PART}(?:,? {_PART}){{0,3}}){_DONE}")
 HAN_NAME_RE = regex.compile(r"(?:(?<=作者)|(?<=联系人[：:])|(?<=担当は))[\p{Han}\p{Hiragana}\p{Katakana}]{2,6}?(?=已检查|[。，\s]|さんです|さん)|(?<![\p{L}])[\p{Han}\p{Hiragana}\p{Katakana}]{2,8}?(?=がコードを)")
 TOKEN_RE = regex.compile(_PART)
 _TITLED = regex.compile(rf"(?:^|[^\p{{L}}])(?:{'|'.join(TITLES)})\.? ?$")
@@ -191,16 +192,15 @@ def _emails(form: str) -> Iterator[Span]:
     for m in EMAIL_RE.finditer(form):
         before, after = _around(form, m.start(), m.end())
         host, at = m["host"], m["at"]
-        top = regex.split(r"\.|[ \[(]dot", host, flags=regex.I)[-1].strip(" ])(")
         spelled = at.strip(" ").lower() == "at"
         yield Span(EMAIL, m.start(), m.end(), (
             YES if "@" in at or "＠" in at else 0,
             YES if regex.search(r"[\[(]", at) else 0,
             YES if regex.search(r"dot", host, regex.I) else 0,
-            0 if top.isalpha() and 2 <= len(top) <= 12 else NO,
+            YES if regex.search(r"[._+\d-]", m["local"]) else 0,
             YES if _BEFORE[EMAIL].search(before) else 0,
             NO if after[:1] == "/" or before.endswith("/") or (spelled and not regex.search(r"[._+\d-]", m["local"]) and "dot" not in host) else 0,
-            NO if regex.fullmatch(r"v?\d[\d.]*(?:-\w+)?", host) else 0,
+            NO if regex.search(r"\.(?:py|js|md|txt|log|json|bin|html?|csv|bak)$", host) else 0,
         ))
 
 
