@@ -9,20 +9,20 @@ does not depend on the drawn-alike letters decides on its alphabet.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Letters drawn alike, each line a Latin letter and its doubles.
 DRAWN_ALIKE = {
-    "a": "аαɑ", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡց", "h": "һհ", "i": "іι", "j": "јյϳ", "l": "ӏ",
+    "a": "аαɑ", "c": "с", "d": "ԁ", "e": "е", "g": "ɡց", "h": "һհ", "i": "іι", "j": "јյϳ", "l": "ӏ",
     "n": "ո", "o": "оοօ", "p": "рρ", "q": "ԛզ", "s": "ѕ", "u": "սυ", "v": "ѵν", "w": "ԝ", "x": "х", "y": "уү",
-    "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СϹᏟ", "E": "ЕΕᎬ", "G": "Ԍ", "H": "НΗᎻ", "I": "ІΙӀ", "J": "ЈͿᎫ", "K": "КΚᏦ",
+    "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СᏟ", "E": "ЕΕᎬ", "G": "Ԍ", "H": "НΗᎻ", "I": "ІΙӀ", "J": "ЈͿᎫ", "K": "КΚᏦ",
     "L": "Ꮮ", "M": "МΜᎷ", "N": "Ν", "O": "ОΟՕ", "P": "РΡᏢ", "Q": "Ԛ", "S": "ЅՏᏚ", "T": "ТΤᎢ", "V": "ѴᏙ",
     "W": "ԜᎳ", "X": "ХΧ", "Y": "УΥҮ", "Z": "ΖᏃ",
 }
@@ -77,18 +77,17 @@ def _is_unstable(c: str) -> bool:
 
 
 @lru_cache(maxsize=1)
-def _unstable() -> regex.Pattern:
-    """Unstable stretches with the one character before; the class comes from the properties."""
-    points = [*range(0x80, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x1_0000), *range(0x1_0000, 0x1_2000), *range(0x1_D000, 0x1_F000), *range(0x1_FB00, 0x1_FC00), *range(0x2_F800, 0x2_FA20), *range(0xE_0000, 0xE_0200)]
-    hits = [p for p in points if not 0xD800 <= p < 0xE000 and _is_unstable(chr(p))]
-    runs: list[list[int]] = []
-    for p in hits:
-        if runs and p == runs[-1][1] + 1:
-            runs[-1][1] = p
-        else:
-            runs.append([p, p])
-    body = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
-    return regex.compile(f"(?s)[^{body}]?[{body}]+")
+def _unstable() -> frozenset[str]:
+    """All unstable characters, by their properties, over the blocks that hold any."""
+    blocks = ((0x80, 0x3400), (0xA000, 0xAC00), (0xF900, 0x1_2000), (0x1_D000, 0x1_F000), (0x1_FB00, 0x1_FC00), (0x2_F800, 0x2_FA20), (0xE_0000, 0xE_0200))
+    return frozenset(c for a, b in blocks for c in map(chr, range(a, b)) if _is_unstable(c))
+
+
+@lru_cache(maxsize=1 << 12)
+def _stretches(chars: frozenset[str]) -> re.Pattern:
+    """Runs of these characters with the one character before them."""
+    body = "".join(map(re.escape, sorted(chars)))
+    return re.compile(f"(?s)[^{body}]?[{body}]+")
 
 
 def _segment(text: str, start: int, end: int) -> tuple[str, list[int]]:
@@ -122,8 +121,8 @@ def _segment(text: str, start: int, end: int) -> tuple[str, list[int]]:
     return out, places
 
 
-_UNIT = regex.compile(r"\S+")
-_DOUBLE = regex.compile(r"[\p{Cyrillic}\p{Greek}\p{Armenian}\p{Cherokee}ɑɡ]")
+_UNIT = re.compile(r"\S+")
+_OTHER_ALPHABETS = frozenset("ɑɡ") | {chr(c) for a, b in ((0x370, 0x590), (0x13A0, 0x1400), (0x1C80, 0x1C90), (0x1F00, 0x2000), (0xA640, 0xA6A0), (0xAB70, 0xABC0)) for c in range(a, b)}
 
 
 @lru_cache(maxsize=1 << 14)
@@ -177,27 +176,32 @@ def _main_alphabet(text: str) -> str:
     return "CYRILLIC" if votes[3] > votes[1] and votes[3] >= votes[4] else "GREEK" if votes[4] > votes[1] else "LATIN"
 
 
+def _normalise_stretches(text: str) -> tuple[str, list[int] | None]:
+    """Rewrite the unstable stretches of a text and splice them into the rest."""
+    unstable = set(text) & _unstable()
+    if not unstable:
+        return text, None
+    out: list[str] = []
+    places: list[int] = []
+    at = 0
+    for m in _stretches(frozenset(unstable)).finditer(text):
+        out.append(text[at : m.start()])
+        places += range(at, m.start())
+        part, where = _segment(text, m.start(), m.end())
+        out.append(part)
+        places += where
+        at = m.end()
+    out.append(text[at:])
+    places += range(at, len(text))
+    return "".join(out), places
+
+
 def unify(text: str) -> tuple[str, list[int] | None]:
     """The consistent form of a text, and the place in it of each character (None: unchanged)."""
     if text.isascii():
         return text, None
-    places: list[int] | None = None
-    found = list(_unstable().finditer(text))
-    if found:
-        out: list[str] = []
-        places = []
-        at = 0
-        for m in found:
-            out.append(text[at : m.start()])
-            places += range(at, m.start())
-            part, where = _segment(text, m.start(), m.end())
-            out.append(part)
-            places += where
-            at = m.end()
-        out.append(text[at:])
-        places += range(at, len(text))
-        text = "".join(out)
-    if _DOUBLE.search(text) is None:
+    text, places = _normalise_stretches(text)
+    if _OTHER_ALPHABETS.isdisjoint(text):
         return text, places
     units = [(m.start(), m.end(), *_settle(m[0])) for m in _UNIT.finditer(text)]
     main = "LATIN" if all(name for *_, name in units) else _main_alphabet(text)
@@ -207,7 +211,11 @@ def unify(text: str) -> tuple[str, list[int] | None]:
         out.append("".join(_as(x, main) for x in settled) if not name and main != "LATIN" else settled)
         at = end
     out.append(text[at:])
-    return "".join(out), places
+    text = "".join(out)
+    if not unicodedata.is_normalized("NFC", text):  # a settled letter may compose with its mark
+        text, again = _normalise_stretches(text)
+        places = again if places is None else [places[p] for p in again]
+    return text, places
 
 
 def realign(text: str, original: str | None) -> list[int]:
