@@ -169,3 +169,21 @@ def test_tracker():
     assert t.data["loss"] == [0, 2, 4] and repr(t) == "loss: 4"
     with pytest.raises(ValueError):
         Tracker(0)
+
+
+def test_accumulated_metrics(spark):
+    df = spark.createDataFrame([([0.9, 0.1], 0), ([0.2, 0.8], 0)], "scores array<double>, truth int")
+    m = metrics.CategoricalMetrics(2, every=2)
+    with pytest.raises(ValueError):
+        m.calculate(spark)
+    m.add(df)
+    m.add(df)
+    assert m.calculate(spark) is None and m.calculate(spark, force=True)["accuracy"] == 0.5
+    assert m.history[0]["classes"][0]["recall"] == 0.5 and m.history[0]["mean_precision"] == 0.5
+    multi = metrics.MultiLabelMetrics()
+    multi.add(spark.createDataFrame([([0.9, 0.1], [1, 0]), ([0.9, 0.9], [1, 0])], "scores array<double>, truth array<int>"))
+    got = multi.calculate(spark)
+    assert got["exact_match"] == 0.5 and got["labels"][1]["fp"] == 1 and got["mean_accuracy"] == 0.75
+    multi.clear()
+    with pytest.raises(ValueError):
+        multi.calculate(spark, force=True)

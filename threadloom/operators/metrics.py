@@ -114,3 +114,85 @@ def label_counts(rows: DataFrame, scores: str = "scores", truth: str = "truth",
 def exact_match(rows: DataFrame, scores: str = "scores", truth: str = "truth", threshold: float = 0.5) -> DataFrame:
     same = F.forall(F.arrays_zip(F.col(scores).alias("s"), F.col(truth).alias("t")), lambda x: (x["s"] >= threshold) == (x["t"] == 1))
     return rows.agg(F.coalesce(F.avg(same.cast("double")), F.lit(0.0)).alias("exact_match"))
+
+
+class _Accumulated:
+    """Counts over several frames; every nth call computes, ``force`` always does.
+
+    Each frame that is added is reduced to its counts at once, so what is kept is as small
+    as the number of classes. Computed values are appended to ``history``.
+    """
+
+    def __init__(self, every: int = 1) -> None:
+        if every < 1:
+            raise ValueError("every is at least 1")
+        self.every, self.calls, self.history = every, 0, []
+        self.clear()
+
+    def clear(self) -> None:
+        self.cells: dict[tuple, int] = {}
+
+    def _add(self, rows, width: int) -> None:
+        for r in rows:
+            key = tuple(r)[:width]
+            self.cells[key] = self.cells.get(key, 0) + r[width]
+
+    def _due(self, force: bool) -> bool:
+        self.calls += 1
+        return force or (self.calls - 1) % self.every == 0
+
+
+class CategoricalMetrics(_Accumulated):
+    """Metrics of one class for each row, over all frames added since the last clear."""
+
+    def __init__(self, classes: int, every: int = 1) -> None:
+        self.classes = classes
+        super().__init__(every)
+
+    def add(self, rows: DataFrame, scores: str = "scores", truth: str = "truth") -> None:
+        self._add(confusion(valid_predictions(rows, self.classes, scores, truth), scores, truth).collect(), 2)
+
+    def calculate(self, spark, force: bool = False) -> dict | None:
+        """Overall values, macro means and values of each class; an error without any row."""
+        if not self._due(force):
+            return None
+        if not self.cells:
+            raise ValueError("no predictions were added")
+        cells = spark.createDataFrame([(*k, n) for k, n in self.cells.items()], "truth int, pred int, n bigint")
+        counts = class_counts(cells, self.classes)
+        each = per_class(counts)
+        names = [c for c in each.columns if c not in ("class_id", "tp", "fp", "fn", "tn", "hamming", "kappa", "mcc", "accuracy")]
+        result = overall(counts).first().asDict() | {f"mean_{k}": v for k, v in macro(each, *names).first().asDict().items()}
+        result["classes"] = {r["class_id"]: r.asDict() for r in each.collect()}
+        self.history.append(result)
+        return result
+
+
+class MultiLabelMetrics(_Accumulated):
+    """Metrics of several labels for each row, over all frames added since the last clear."""
+
+    def __init__(self, threshold: float = 0.5, every: int = 1) -> None:
+        self.threshold = threshold
+        super().__init__(every)
+
+    def add(self, rows: DataFrame, scores: str = "scores", truth: str = "truth") -> None:
+        counts = label_counts(rows, scores, truth, self.threshold)
+        kinds = F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), F.col(n).alias("n")) for n in ("tp", "fp", "fn", "tn")])).alias("c")
+        self._add(counts.select("label", kinds).select("label", "c.kind", "c.n").collect(), 2)
+        same = F.forall(F.arrays_zip(F.col(scores).alias("s"), F.col(truth).alias("t")), lambda x: (x["s"] >= self.threshold) == (x["t"] == 1))
+        hits = rows.agg(F.count_if(same), F.count(F.lit(1))).first()
+        self._add([("rows", "exact", hits[0]), ("rows", "all", hits[1])], 2)
+
+    def calculate(self, spark, force: bool = False) -> dict | None:
+        if not self._due(force):
+            return None
+        labels = sorted({k for k, _ in self.cells if k != "rows"})
+        if not labels:
+            raise ValueError("no predictions were added")
+        counts = spark.createDataFrame([(k, *[self.cells.get((k, c), 0) for c in ("tp", "fp", "fn", "tn")]) for k in labels], "label int, tp bigint, fp bigint, fn bigint, tn bigint")
+        each = per_class(counts)
+        names = [c for c in each.columns if c not in ("label", "tp", "fp", "fn", "tn")]
+        result = {f"mean_{k}": v for k, v in macro(each, *names).first().asDict().items()} | {"labels": {r["label"]: r.asDict() for r in each.collect()}}
+        result["exact_match"] = self.cells["rows", "exact"] / max(self.cells["rows", "all"], 1)
+        self.history.append(result)
+        return result

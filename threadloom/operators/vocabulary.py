@@ -66,3 +66,20 @@ def contains(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def encode_with(mapping: Column, token: Column) -> Column:
     """Id by a map literal of a small vocabulary: 0 for unknown tokens."""
     return F.coalesce(F.try_element_at(mapping, token), F.lit(0))
+
+
+def save(vocabulary: DataFrame, path: str) -> None:
+    vocabulary.select("id", "token", "special_name").write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SCHEMA).parquet(path)
+
+
+def lookup(vocabulary: DataFrame, key: str | int) -> int | str | None:
+    """Id of a token (0 if unknown), or token of an id (NULL if there is none)."""
+    if isinstance(key, str):
+        row = vocabulary.where(F.col("token") == key).select("id").first()
+        return row[0] if row else 0
+    row = vocabulary.where(F.col("id") == key).select("token").first()
+    return row[0] if row else None
