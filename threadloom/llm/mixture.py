@@ -23,6 +23,9 @@ from threadloom.session import materialise
 
 CHUNK = 8192
 FAN_IN = 256
+#: Sources up to which the plan is broadcast; a longer plan is joined with salted keys.
+BROADCAST_SOURCES = 10_000
+SALTS = 16
 _EPS = 1e-9
 
 
@@ -111,7 +114,9 @@ def _round_group(last: bool, seed: int):
 _GROUP = "doc_id bigint, source string, n_tokens bigint, draw double, node bigint, p double, open boolean"
 
 
-def mixture(sizes: DataFrame, plan: DataFrame, seed: int = 0, chunk: int = CHUNK, fan_in: int = FAN_IN) -> DataFrame:
+def mixture(
+    sizes: DataFrame, plan: DataFrame, seed: int = 0, chunk: int = CHUNK, fan_in: int = FAN_IN, broadcast_sources: int = BROADCAST_SOURCES
+) -> DataFrame:
     """(doc_id, source, n_tokens, copies) of every document of a source with a plan.
 
     ``sizes`` is (doc_id, source, n_tokens). A document is copied at most ``max_repeats``
@@ -123,7 +128,13 @@ def mixture(sizes: DataFrame, plan: DataFrame, seed: int = 0, chunk: int = CHUNK
     rates = plan.select("source", "rate", "max_repeats", F.greatest(F.lit(1), F.ceil(F.col("n_filled") / chunk)).alias("nodes"))
     one = sizes.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.struct("n_tokens", "source")).alias("s"))
     mixed = F.xxhash64(F.lit(seed), "doc_id")
-    docs = one.select("doc_id", "s.source", "s.n_tokens").join(rates, "source").withColumn("whole", F.floor("rate"))
+    one = one.select("doc_id", "s.source", "s.n_tokens")
+    if plan.count() <= broadcast_sources:
+        docs = one.join(F.broadcast(rates), "source")
+    else:
+        salted = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        docs = one.withColumn("salt", F.pmod(mixed, F.lit(SALTS)).cast("int")).join(salted, ["source", "salt"])
+    docs = docs.withColumn("whole", F.floor("rate"))
     docs = docs.select(
         "doc_id", "source", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"), "whole",
         (F.col("rate") - F.col("whole")).alias("p"), F.pmod(mixed, F.col("nodes")).alias("node"),

@@ -98,16 +98,18 @@ PHONE_SHAPES = [
 PHONE_SHAPE = regex.compile("|".join(f"(?:{p})" for p in PHONE_SHAPES))
 _ID_LETTER, _ID_END = "[A-ZАВЕКМНОРСТУХ]", "[A-DАВС]"
 ID_RE = regex.compile(
-    r"(?<![\p{Latin}\p{Nd}_.,:/+-])(?:" + _ID_LETTER + r"{2} ?\d{2} ?\d{2} ?\d{2} ?" + _ID_END + r"|" + _ID_LETTER + r"{2}\d{7}|" + _ID_LETTER + r"{3} ?\d{6}|\d{3}[- ]\d{2}[- ]\d{4}|\d{17}[\dXx]"
+    r"(?=[\dA-ZАВЕКМНОРСТУХ])(?<![\p{Latin}\p{Nd}_.,:/+-])(?:" + _ID_LETTER + r"{2} ?\d{2} ?\d{2} ?\d{2} ?" + _ID_END + r"|" + _ID_LETTER + r"{2}\d{7}|" + _ID_LETTER + r"{3} ?\d{6}|\d{3}[- ]\d{2}[- ]\d{4}|\d{17}[\dXx]"
     r"|[1-8] ?\d{2} ?\d{2} ?\d[\dAB] ?\d{3} ?\d{3} ?\d{2}|\d{5} \d{3} \d{3}|\d{2} \d{3} \d{3} \d{3}|\d{11})(?![\p{Latin}\p{Nd}_:/]|[-.,]\p{Nd}|-\p{L})"
 )
 ID_STRONG = regex.compile(r"" + _ID_LETTER + r"{2} ?\d{2} ?\d{2} ?\d{2} ?" + _ID_END + r"|" + _ID_LETTER + r"{2}\d{7}|" + _ID_LETTER + r"{3} ?\d{6}|\d{3}[- ]\d{2}[- ]\d{4}|\d{17}[\dXx]")
 NAME_RE = regex.compile(rf"{_FREE}(?:(?<!\d ){_INITIALS}{_PART}|{_PART}(?:,? {_PART}){{0,3}}){_DONE}")
 HAN_NAME_RE = regex.compile(r"(?:(?<=作者)|(?<=联系人[：:])|(?<=担当は))[\p{Han}\p{Hiragana}\p{Katakana}]{2,6}?(?=已检查|[。，\s]|さんです|さん)|(?<![\p{L}])[\p{Han}\p{Hiragana}\p{Katakana}]{2,8}?(?=がコードを)")
 TOKEN_RE = regex.compile(_PART)
-_TITLED = regex.compile(rf"(?:^|[^\p{{L}}])(?:{'|'.join(TITLES)})\.? ?$")
-_BEFORE_NAME = regex.compile(rf"(?:{BEFORE_NAME})[ \n]*$")
+_TITLE = regex.compile(rf"(?<!\p{{L}})(?:{'|'.join(TITLES)})\.? ?")
+_BEFORE_NAME = regex.compile(rf"(?:{BEFORE_NAME})[ \n]*")
 _AFTER_NAME = regex.compile(AFTER_NAME)
+_LED = regex.compile(_INITIALS)
+_SENTENCE_END = regex.compile(r"[.!?。:\n]\s*$")
 _FRENCH = regex.compile(r"\b(?:la|le|les|une|des|du|parle|est|de)\b")
 _BEFORE = {EMAIL: regex.compile(BEFORE_EMAIL), PHONE: regex.compile(BEFORE_PHONE), ID: regex.compile(BEFORE_ID), ADDRESS: regex.compile(BEFORE_ADDRESS)}
 _NOT = regex.compile(rf"(?<![\p{{L}}])(?:{NOT_PERSONAL})")
@@ -137,13 +139,14 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {}
         for text in batch["text"].to_pylist():
             form = unify(text)[0]
+            titles = {m.end() for m in _TITLE.finditer(form)}
             for m in HARVEST.finditer(form):
                 name = m[1] or m[2]
                 comma = "," in name
-                parts = TOKEN_RE.findall(regex.sub(_INITIALS, "", name))
-                led = bool(regex.match(_INITIALS, name))
+                parts = TOKEN_RE.findall(_LED.sub("", name))
+                led = _LED.match(name) is not None
                 for k, part in enumerate(parts):
-                    first = not led and (k == 0) != comma if len(parts) > 1 else not led and not _TITLED.search(form[max(0, m.start(1 if m[1] else 2) - 8) : m.start(1 if m[1] else 2)])
+                    first = not led and (k == 0) != comma if len(parts) > 1 else not led and m.start(1 if m[1] else 2) not in titles
                     if part.isupper() and len(parts) > 1:
                         first = False
                     for h in () if part in PRONOUNS else _halves(part):
@@ -189,6 +192,8 @@ def _around(form: str, start: int, end: int) -> tuple[str, str]:
 
 
 def _emails(form: str) -> Iterator[Span]:
+    if not any(sign in form for sign in ("@", "＠", "at ", "at)", "at]", "AT")):
+        return
     for m in EMAIL_RE.finditer(form):
         before, after = _around(form, m.start(), m.end())
         host, at = m["host"], m["at"]
@@ -253,8 +258,10 @@ def _addresses(form: str) -> Iterator[Span]:
 
 
 def _names(form: str, known: Callable[[str], tuple[int, int] | None]) -> Iterator[Span]:
+    titles = {m.end() for m in _TITLE.finditer(form)}
+    leads = {m.end() for m in _BEFORE_NAME.finditer(form)}
     for m in NAME_RE.finditer(form):
-        led = regex.match(_INITIALS, m[0])
+        led = _LED.match(m[0])
         parts = [(p.start() + m.start(), p.end() + m.start(), p[0]) for p in TOKEN_RE.finditer(m[0], pos=led.end() if led else 0)]
         info = []
         for a, b, token in parts:
@@ -279,22 +286,20 @@ def _names(form: str, known: Callable[[str], tuple[int, int] | None]) -> Iterato
                 elif gap == " " and hit is None and nxt[3] is None and k == 0 and len(info) == 2:
                     end, n = nxt[1], 2
             k += n
-            before, after = _around(form, start, end)
-            if initials and regex.match(r"M\. ?", m[0]) and _FRENCH.search(after):
-                start = m.start() + regex.match(r"M\. ?", m[0]).end()
-                before, initials = form[max(0, start - 48) : start], start < a
-                titled = True
+            if initials and m[0].startswith("M.") and _FRENCH.search(form, end, end + 32):
+                start = m.start() + (3 if m[0][2:3] == " " else 2)
+                initials, titled = start < a, True
             else:
-                titled = bool(_TITLED.search(before))
-            context = bool(_BEFORE_NAME.search(before)) or bool(_AFTER_NAME.match(after))
-            if hit is None and not (titled or context or initials or n == 2):
+                titled = start in titles
+            lead, follow = start in leads, _AFTER_NAME.match(form, end) is not None
+            if hit is None and not (titled or lead or follow or initials or n == 2):
                 continue
-            sentence_start = not before or regex.search(r"[.!?。:\n]\s*$", before) is not None
+            sentence_start = _SENTENCE_END.search(form, max(0, start - 8), start) is not None or start == 0
             yield Span(NAME, start, end, (
                 YES if hit is not None else 0 if titled or initials else NO,
                 YES if titled else 0,
-                YES if _BEFORE_NAME.search(before) else 0,
-                YES if _AFTER_NAME.match(after) else 0,
+                YES if lead else 0,
+                YES if follow else 0,
                 YES if initials else 0,
                 YES if n == 2 and hit is not None else 0,
                 NO if hit is None and sentence_start and not titled else 0,
