@@ -64,7 +64,7 @@ def test_driver_merge_handles_runs(pairs):
     counts = dict(pairs)
     state = training._Corpus(list(counts), list(counts.values()), "bpe")
     got = []
-    while len(got) < 8 and (p := state.best("bpe")):
+    while len(got) < 8 and (p := state.best()):
         state.merge(p)
         got.append(p)
     assert got == plain_merges(counts, 8, "bpe")

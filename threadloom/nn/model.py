@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from threadloom.nn.initializers import Random, Static
 from threadloom.nn.losses import EPSILON
 from threadloom.nn.optimizers import Optimizer
+from threadloom.session import summed_blocks
 
 REGISTRY: dict[str, type] = {}
 
@@ -324,10 +325,7 @@ class Model:
     def batch_step(self, rows: DataFrame, n_batch: int) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss of the batch and the gradients, summed over tasks."""
         shapes = {k: v.shape for k, v in self.parameters().items()}
-        loss, total = 0.0, None
-        for r in rows.mapInArrow(self._sums(n_batch), "loss double, n bigint, grads binary").toLocalIterator():
-            g = np.frombuffer(bytes(r["grads"]))
-            loss, total = loss + r["loss"], g.copy() if total is None else total + g
+        (loss, _), total = summed_blocks(rows.mapInArrow(self._sums(n_batch), "loss double, n bigint, grads binary"), ["loss", "n"], "grads")
         parts = np.split(total, np.cumsum([int(np.prod(s)) for s in shapes.values()])[:-1])
         return loss / n_batch, {k: p.reshape(s) for (k, s), p in zip(shapes.items(), parts, strict=True)}
 

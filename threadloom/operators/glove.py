@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.session import summed_blocks
+
 MAX_BROADCAST_BYTES = 256 << 20
 
 
@@ -121,7 +123,7 @@ class GloVe:
         """Mean loss of each epoch. An epoch makes ``batches`` steps over hash-chosen parts.
 
         Each task sums the gradients of its records into one block of the parameters' size;
-        the driver adds the blocks as they arrive and updates.
+        the blocks are added in a bounded number of tasks and on the driver, which updates.
         """
         valid = records.where((F.col("value") > 0) & ~F.isnan("value") & (F.col("i") >= 0) & (F.col("j") >= 0) & (F.col("i") < self.vocabulary_size) & (F.col("j") < self.vocabulary_size)).select("i", "j", "value")
         history = []
@@ -129,11 +131,9 @@ class GloVe:
             n = total = 0.0
             for k in range(batches):
                 part = valid.where(F.pmod(F.xxhash64(F.lit(self.seed + epoch), "i", "j"), F.lit(batches)) == k) if batches > 1 else valid
-                sums = None
-                for row in part.mapInArrow(self._partial((self.w, self.wc, self.b, self.bc), self.most, self.alpha), "n bigint, loss double, sums binary").toLocalIterator():
-                    block = np.frombuffer(bytes(row["sums"]))
-                    sums = block.copy() if sums is None else sums + block
-                    n, total = n + row["n"], total + row["loss"]
+                blocks = part.mapInArrow(self._partial((self.w, self.wc, self.b, self.bc), self.most, self.alpha), "n bigint, loss double, sums binary")
+                (rows, loss), sums = summed_blocks(blocks, ["n", "loss"], "sums")
+                n, total = n + rows, total + loss
                 if sums is not None:
                     self._apply(sums, learning_rate)
             history.append(total / max(n, 1))

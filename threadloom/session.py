@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +55,36 @@ def spread(df: DataFrame, *keys: str | Column, at_least: int | None = None) -> D
     return df.repartition(want, *keys)
 
 
+def summed_blocks(parts: DataFrame, numbers: list[str], block: str, fan_in: int = 32) -> tuple[list[float], np.ndarray | None]:
+    """Sums of number columns and of a column of equally long float64 blocks.
+
+    With many tasks the blocks are first added in ``fan_in`` tasks, so that the driver
+    receives at most that many. Without rows the block is None.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, total = [0.0] * len(numbers), None
+        for b in batches:
+            for k, n in enumerate(numbers):
+                sums[k] += float(np.sum(b[n].to_numpy()))
+            for raw in b[block].to_pylist():
+                v = np.frombuffer(raw)
+                total = v.copy() if total is None else total + v
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([*[pa.array([s]) for s in sums], pa.array([total.tobytes()], pa.binary())], names=[*numbers, block])
+
+    schema = ", ".join([*(f"{n} double" for n in numbers), f"{block} binary"])
+    parts = parts.select(*[F.col(n).cast("double").alias(n) for n in numbers], block)
+    if parts.sparkSession.sparkContext.defaultParallelism > fan_in:
+        parts = parts.repartition(fan_in).mapInArrow(add, schema)
+    rows = parts.collect()
+    sums, total = [sum(r[n] for r in rows) for n in numbers], None
+    for r in rows:
+        v = np.frombuffer(bytes(r[block]))
+        total = v.copy() if total is None else total + v
+    return sums, total
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Upper bound of the number of tasks after a shuffle."""
     conf = spark.conf

@@ -2,8 +2,8 @@
 
 Counting words is distributed; choosing merges is one decision after another. While the
 table of distinct words is small (a documented parameter) the loop runs on the driver with
-arrays: the symbols of all words in one array, a merge is a masked copy, counts are one
-sort. Larger tables stay distributed, with one aggregate and one rewrite for each merge.
+arrays: the symbols of all words in one array, a merge is a masked copy, and only the words
+it touches are counted again. Larger tables stay distributed, with one aggregate and one rewrite for each merge.
 """
 
 from __future__ import annotations
@@ -22,18 +22,26 @@ CUT_EVERY = 10
 
 
 class _Corpus:
-    """All words side by side as symbol numbers, with -1 between them."""
+    """All words side by side as symbol numbers, with -1 between them.
+
+    Pair counts are kept for the whole corpus. A merge recounts only the words it touches,
+    before and after, and adds the difference.
+    """
 
     def __init__(self, words: list[str], freqs: list[int], kind: str) -> None:
         self.names: list[str] = []
         self.number: dict[str, int] = {}
+        self.kind = kind
         flat: list[int] = []
-        weight: list[int] = []
-        for word, freq in zip(words, freqs, strict=True):
+        owner: list[int] = []
+        for k, word in enumerate(words):
             symbols = [*word, W.BPE_END] if kind == "bpe" else [W.PIECE_START, *word]
             flat += [self.id(s) for s in symbols] + [-1]
-            weight += [freq] * (len(symbols) + 1)
-        self.symbols, self.weight = np.array(flat, np.int64), np.array(weight, np.int64)
+            owner += [k] * (len(symbols) + 1)
+        self.symbols, self.owner, self.freq = np.array(flat, np.int64), np.array(owner, np.int64), np.array(freqs, np.int64)
+        self.pairs: dict[int, int] = {}
+        self.single: dict[int, int] = {}
+        self._count(self.symbols, self.owner, 1)
 
     def id(self, name: str) -> int:
         if name not in self.number:
@@ -41,20 +49,35 @@ class _Corpus:
             self.names.append(name)
         return self.number[name]
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        left, right = self.symbols[:-1], self.symbols[1:]
-        real = (left >= 0) & (right >= 0)
-        codes, inverse = np.unique(left[real] << 32 | right[real], return_inverse=True)
-        counts = np.bincount(inverse, weights=self.weight[:-1][real], minlength=len(codes))
-        return codes >> 32, codes & 0xFFFFFFFF, counts
-
-    def best(self, kind: str) -> tuple[str, str] | None:
-        left, right, score = self.pairs()
-        if not len(left):
+    def _count(self, symbols: np.ndarray, owner: np.ndarray, sign: int) -> None:
+        left, right = symbols[:-1], symbols[1:]
+        inside = (left >= 0) & (right >= 0)
+        self._add(self.pairs, (left << 32 | right)[inside], self.freq[owner[:-1][inside]], sign)
+        if self.kind == "piece":
+            real = symbols >= 0
+            self._add(self.single, symbols[real], self.freq[owner[real]], sign)
+
+    @staticmethod
+    def _add(table: dict[int, int], keys: np.ndarray, weights: np.ndarray, sign: int) -> None:
+        found, inverse = np.unique(keys, return_inverse=True)
+        sums = np.zeros(len(found), np.int64)
+        np.add.at(sums, inverse, weights)
+        for k, n in zip(found.tolist(), (sign * sums).tolist(), strict=True):
+            if total := table.get(k, 0) + n:
+                table[k] = total
+            else:
+                table.pop(k, None)
+
+    def best(self) -> tuple[str, str] | None:
+        """The pair with the best score; of ties the smallest in code point order."""
+        if not self.pairs:
             return None
-        if kind == "piece":
-            real = self.symbols >= 0
-            single = np.bincount(self.symbols[real], weights=self.weight[real], minlength=len(self.names))
+        codes = np.fromiter(self.pairs.keys(), np.int64, len(self.pairs))
+        score = np.fromiter(self.pairs.values(), np.int64, len(self.pairs)).astype(float)
+        left, right = codes >> 32, codes & 0xFFFFFFFF
+        if self.kind == "piece":
+            single = np.zeros(len(self.names))
+            single[list(self.single)] = list(self.single.values())
             score = score / (single[left] * single[right])
         ties = np.flatnonzero(score == score.max())
         return min((self.names[left[k]], self.names[right[k]]) for k in ties)
@@ -66,17 +89,22 @@ class _Corpus:
         if a == b and len(hit):
             run_start = np.maximum.accumulate(np.where(np.r_[True, np.diff(hit) > 1], np.arange(len(hit)), 0))
             hit = hit[(np.arange(len(hit)) - run_start) % 2 == 0]
+        touched = np.zeros(len(self.freq), bool)
+        touched[self.owner[hit]] = True
+        mine = touched[self.owner]
+        self._count(self.symbols[mine], self.owner[mine], -1)
         self.symbols[hit] = self.id(pair[0] + pair[1])
         keep = np.ones(len(self.symbols), bool)
         keep[hit + 1] = False
-        self.symbols, self.weight = self.symbols[keep], self.weight[keep]
+        self.symbols, self.owner, mine = self.symbols[keep], self.owner[keep], mine[keep]
+        self._count(self.symbols[mine], self.owner[mine], 1)
 
 
 def _on_driver(words: DataFrame, budget: int, kind: str) -> list[tuple[str, str]]:
     rows = words.orderBy("word").collect()
     corpus = _Corpus([r["word"] for r in rows], [r["freq"] for r in rows], kind)
     merges: list[tuple[str, str]] = []
-    while len(merges) < budget and (pair := corpus.best(kind)) is not None:
+    while len(merges) < budget and (pair := corpus.best()) is not None:
         corpus.merge(pair)
         merges.append(pair)
     return merges
