@@ -98,6 +98,3 @@ def finite(value: Column) -> Column:
     bad = v.isNull() | F.isnan(v) | (v < 0) | (v == float("inf"))
     return F.when(bad, F.lit(0.0)).otherwise(v)
 
-
-def data_dir(default: str = "/root/testdata/sf0.1") -> str:
-    return os.environ.get("BENCH_SF_DIR", default)
