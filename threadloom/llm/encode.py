@@ -77,13 +77,12 @@ def _ids(path: str, size: int, only_count: bool):
                 texts = part[_IN].to_pylist()
                 ids = [encode_text(enc, t, size) if t else None for t in texts]
                 sizes = np.array([0 if x is None else len(x) for x in ids], np.int64)
-                null = np.array([t is None for t in texts], dtype=bool)
                 if only_count:
-                    yield pa.RecordBatch.from_arrays([*kept, pa.array(sizes, mask=null)], names=[*names, "n_tokens"])
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array(sizes)], names=[*names, "n_tokens"])
                     continue
                 offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
                 flat = np.concatenate([x for x in ids if x is not None] or [np.empty(0)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets, mask=np.r_[null, False]), pa.array(flat))
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*kept, lists], names=[*names, "ids"])
 
     return run
@@ -92,8 +91,8 @@ def _ids(path: str, size: int, only_count: bool):
 def encode_corpus(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, piece: int = PIECE) -> DataFrame:
     """``keep`` columns and ``ids``, the token ids of each text without special tokens.
 
-    Markup of special tokens inside a text is ordinary text. An empty text has no ids
-    (``[]``), a NULL text has NULL. Rows stay one to one, in the partitioning of the input;
+    Markup of special tokens inside a text is ordinary text. An empty and a NULL text have
+    the empty list of ids. Rows stay one to one, in the partitioning of the input;
     there is no shuffle. The rank file must exist at ``path`` on every worker.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
@@ -102,7 +101,7 @@ def encode_corpus(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
 
 
 def count_tokens(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, piece: int = PIECE) -> DataFrame:
-    """``keep`` columns and ``n_tokens``: 0 for an empty text, NULL for a NULL text."""
+    """``keep`` columns and ``n_tokens``: 0 for an empty text and for a NULL text."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     rows = docs.select(*keep, F.col(text).cast("string").alias(_IN))
     return rows.mapInArrow(_ids(path or rank_file(), piece, True), f"{schema}, n_tokens bigint")

@@ -35,8 +35,8 @@ def p1_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of strings that read the same but differ in their code points."""
-    pairs_ = unify.same_to_the_eye(spread(_strings(spark, sf_dir), "id"), keep=materialise)
-    return pairs_.select(F.col("a").alias("string_id_a"), F.col("b").alias("string_id_b"))
+    found = unify.same_to_the_eye(_strings(spark, sf_dir), keep=materialise)
+    return found.select(F.col("a").alias("string_id_a"), F.col("b").alias("string_id_b"))
 
 
 def p3_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,8 +88,8 @@ def p6_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     encoded = encode.encode_corpus(docs, keep=("doc_id", "text"))
     raw = encode.decode_corpus(encoded.withColumn("n_ids", F.size("ids")), keep=("doc_id", "text", "n_ids"))
-    same = F.col("raw").eqNullSafe(F.encode("text", "UTF-8"))
-    return raw.select("doc_id", F.when(F.col("text").isNotNull(), F.col("n_ids")).alias("n_ids"), F.length("raw").alias("n_bytes"), same.alias("same"))
+    same = F.col("raw") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return raw.select("doc_id", "n_ids", F.length("raw").alias("n_bytes"), same.alias("same"))
 
 
 def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
