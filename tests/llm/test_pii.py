@@ -50,7 +50,7 @@ def trained(spark):
 @pytest.mark.parametrize("joined", [False, True])
 def test_held_out_quality(spark, trained, joined):
     docs, truth = corpus(150, 2)
-    model, names = trained
+    model, names, _ = trained
     if joined:
         model = pii.Model(model.weights, model.reliability, None)
     rows = pii.find_personal(spark.createDataFrame(docs, SCHEMA), model, names).collect()
@@ -61,8 +61,15 @@ def test_held_out_quality(spark, trained, joined):
         assert len(g & w) / len(g) > 0.95, (kind, sorted(g - w)[:5])
 
 
+def test_proposals_spare_a_second_search(spark, trained):
+    model, names, proposals = trained
+    df = spark.createDataFrame(corpus(400, 1)[0], SCHEMA)
+    again = sorted(map(tuple, pii.find_personal(df, model, names).collect()))
+    assert sorted(map(tuple, pii.find_personal(df, model, names, proposals).collect())) == again and again
+
+
 def test_placeholders_and_edges(spark, trained):
-    model, names = trained
+    model, names, _ = trained
     rows = [(1, "Author: Celia Marlby\nCall +48​ 000 ４73 145 now", "x"), (2, None, "x"), (3, "", "x"), (4, "nothing here", "x"), (1, "Dear Bram, hi", "x"), (5, "plain words " * 30_000 + "Author: Celia Marlby", "x")]
     df = spark.createDataFrame(rows, SCHEMA)
     got = {(r["id"], r["text"][-60:] if r["text"] else r["text"], r["n_found"]) for r in pii.replace_personal(df, model, names).collect()}
@@ -73,8 +80,8 @@ def test_placeholders_and_edges(spark, trained):
 
 def test_empty_corpus(spark):
     df = spark.createDataFrame([], SCHEMA)
-    model, names = pii.train(df)
-    assert pii.find_personal(df, model, names).count() == 0
+    model, names, proposals = pii.train(df)
+    assert pii.find_personal(df, model, names).count() == 0 == pii.find_personal(df, model, names, proposals).count()
 
 
 def test_em_finds_the_reliable_labeler():

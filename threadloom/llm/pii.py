@@ -431,47 +431,52 @@ def _with_names(docs: DataFrame, names: DataFrame, small: bool) -> DataFrame:
     return rows.join(hits, "id", "left")
 
 
-_VOTED = "kind int, votes bigint, feats array<int>, draw bigint"
+_SPANS = "spans array<struct<kind:int,start:int,end:int,votes:bigint,feats:array<int>,draw:bigint>>"
+_SPAN = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("votes", pa.int64()), ("feats", pa.list_(pa.int32())), ("draw", pa.int64())]))
 
 
-def _voted(names: dict | None):
+def _proposed(text: str, key, known: Callable[[str], tuple[int, int] | None]) -> list[dict]:
+    """Proposed spans of a text with their places in the stored text, votes and features."""
+    form, places = unify(text)
+    out = []
+    for s in propose(form, known):
+        start, end = (s.start, s.end) if places is None else (places[s.start], places[s.end - 1] + 1)
+        votes = sum(v * 3**k for k, v in enumerate(s.votes))
+        draw = xxhash.xxh64_intdigest(f"{key}|{start}|{s.kind}") >> 34
+        out.append({"kind": s.kind, "start": start, "end": end, "votes": votes, "feats": features(form, s), "draw": draw})
+    return out
+
+
+def _proposals(names: dict | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, votes, feats, draws = [], [], [], []
+            rows = []
             for i, text, row in zip(*(batch[c].to_pylist() for c in ("id", "text", "hits")), strict=True):
-                if not text:
-                    continue
-                form = unify(text)[0]
-                for s in propose(form, _lookup(names, row)):
-                    kinds.append(s.kind)
-                    votes.append(sum(v * 3**k for k, v in enumerate(s.votes)))
-                    feats.append(features(form, s))
-                    draws.append(xxhash.xxh64_intdigest(f"{i}|{s.start}|{s.kind}") >> 34)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(kinds, pa.int32()), pa.array(votes, pa.int64()), pa.array(feats, pa.list_(pa.int32())), pa.array(draws, pa.int64())],
-                names=["kind", "votes", "feats", "draw"],
-            )
+                if text and (spans := _proposed(text, i, _lookup(names, row))):
+                    rows.append((i, spans))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], _SPAN)], names=["id", "spans"])
 
     return run
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, broadcast_names: int = BROADCAST_NAMES) -> tuple[Model, DataFrame]:
-    """The model and the gazetteer of a corpus of rows (id, text).
+def train(docs: DataFrame, sample: int = SAMPLE, broadcast_names: int = BROADCAST_NAMES) -> tuple[Model, DataFrame, DataFrame]:
+    """The model, the gazetteer and the proposed spans of a corpus of rows (id, text).
 
     The gazetteer and the counts of vote patterns cover all texts; there are at most
     3 ** 7 patterns of a type, so their table is bounded. The classifier is fitted on about
-    ``sample`` spans a type, chosen by a hash (the number varies around ``sample`` by its square root).
+    ``sample`` spans a type, chosen by a hash (the number varies around ``sample`` by its
+    square root). Proposals are (id, spans) for texts with any; they are written once.
     """
     names = materialise(gazetteer(docs))
-    n_names = names.count()
-    small = n_names <= broadcast_names
+    small = names.count() <= broadcast_names
     known = {r["token"]: (r["first"], r["last"]) for r in names.collect()} if small else None
-    spans = materialise(_with_names(docs, names, small).where("text IS NOT NULL").mapInArrow(_voted(known), _VOTED))
+    proposals = materialise(_with_names(docs, names, small).where("text IS NOT NULL").mapInArrow(_proposals(known), f"id bigint, {_SPANS}"))
+    spans = proposals.select(F.explode("spans").alias("s")).select("s.kind", "s.votes", "s.feats", "s.draw")
     counted = spans.groupBy("kind", "votes").agg(F.count(F.lit(1)).alias("n")).collect()
     weights = np.zeros(DIMENSIONS, np.float32)
     reliability = {}
     for kind, label in enumerate(TYPES):
-        mine = [(r["votes"], r["n"]) for r in counted if r["kind"] == kind]
+        mine = sorted((r["votes"], r["n"]) for r in counted if r["kind"] == kind)
         if not mine:
             continue
         patterns = np.array([[v // 3**k % 3 for k in range(LABELERS)] for v, _ in mine])
@@ -483,35 +488,35 @@ def train(docs: DataFrame, sample: int = SAMPLE, broadcast_names: int = BROADCAS
         chosen = sorted(drawn.collect())
         if chosen:
             weights += fit_classifier([r["feats"] for r in chosen], np.array([target[r["votes"]] for r in chosen]))
-    return Model(weights, reliability, known), names
+    return Model(weights, reliability, known), names, proposals
 
 
 # ------------------------------------------------------------------ detection
 
-_ORDER = {EMAIL: 0, ADDRESS: 1, ID: 2, PHONE: 3, NAME: 4}
+_ORDER = {EMAIL: 0, ADDRESS: 1, ID: 2, PHONE: 2, NAME: 3}
 
 
-def find(text: str, model: Model, row: list | None = None) -> list[tuple[int, int, int]]:
-    """(kind, start, end) of the personal information of a text, in order, without overlaps.
+def choose(spans: list[dict], weights: np.ndarray) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of the personal spans among the proposed ones, without overlaps.
 
     Of overlapping spans the one whose type is more specific counts (email, address, number,
     name), then the more probable, then the longer.
     """
-    form, places = unify(text)
     kept = []
-    for s in propose(form, _lookup(model.names, row)):
-        score = float(model.weights[features(form, s)].sum())
+    for s in spans:
+        score = float(weights[s["feats"]].sum())
         if score > 0:
-            kept.append((_ORDER[s.kind] if s.kind not in (PHONE, ID) else 2, -score, s.start - s.end, s))
-    kept.sort(key=lambda x: x[:3])
-    taken: list[Span] = []
-    for *_, s in kept:
-        if all(s.end <= t.start or s.start >= t.end for t in taken):
-            taken.append(s)
-    taken.sort(key=lambda s: s.start)
-    if places is None:
-        return [(s.kind, s.start, s.end) for s in taken]
-    return [(s.kind, places[s.start], places[s.end - 1] + 1) for s in taken]
+            kept.append((_ORDER[s["kind"]], -score, s["start"] - s["end"], s["kind"], s["start"], s["end"]))
+    taken: list[tuple[int, int, int]] = []
+    for *_, kind, start, end in sorted(kept):
+        if all(end <= a or start >= b for _, a, b in taken):
+            taken.append((kind, start, end))
+    return sorted(taken, key=lambda t: t[1])
+
+
+def find(text: str, model: Model, row: list | None = None) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of the personal information of a text, in order."""
+    return choose(_proposed(text, 0, _lookup(model.names, row)), model.weights)
 
 
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -522,18 +527,13 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _found(model: Model):
+def _found(weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, kinds, starts, ends = [], [], [], []
-            for i, text, row in zip(*(batch[c].to_pylist() for c in ("id", "text", "hits")), strict=True):
-                for kind, start, end in find(text, model, row) if text else ():
-                    ids.append(i)
-                    kinds.append(TYPES[kind])
-                    starts.append(start)
-                    ends.append(end)
+            found = [(i, *t) for i, spans in zip(batch["id"].to_pylist(), batch["spans"].to_pylist(), strict=True) for t in choose(spans, weights)]
+            ids, kinds, starts, ends = zip(*found, strict=True) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())],
+                [pa.array(ids, pa.int64()), pa.array([TYPES[k] for k in kinds], pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())],
                 names=["id", "pii_type", "start_pos", "end_pos"],
             )
 
@@ -550,14 +550,17 @@ def _redacted(model: Model):
     return run
 
 
-def find_personal(docs: DataFrame, model: Model, names: DataFrame) -> DataFrame:
+def find_personal(docs: DataFrame, model: Model, names: DataFrame, proposals: DataFrame | None = None) -> DataFrame:
     """(id, pii_type, start_pos, end_pos) of every mention in rows (id, text).
 
     Positions count code points of the stored text, the end exclusive. NULL and empty
-    texts have no rows; repeated rows are searched one by one.
+    texts have no rows; repeated rows are searched one by one. The ``proposals`` of `train`
+    spare a second search of the corpus the model was trained on.
     """
-    rows = _with_names(docs, names, model.names is not None)
-    return rows.mapInArrow(_found(model), "id bigint, pii_type string, start_pos int, end_pos int")
+    if proposals is None:
+        rows = _with_names(docs, names, model.names is not None).where("text IS NOT NULL")
+        proposals = rows.mapInArrow(_proposals(model.names), f"id bigint, {_SPANS}")
+    return proposals.mapInArrow(_found(model.weights), "id bigint, pii_type string, start_pos int, end_pos int")
 
 
 def replace_personal(docs: DataFrame, model: Model, names: DataFrame) -> DataFrame:

@@ -122,7 +122,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with typed placeholders in place of personal information."""
     docs = _documents(spark, sf_dir)
-    return pii.replace_personal(docs, *pii.train(docs)).withColumnRenamed("id", "doc_id")
+    return pii.replace_personal(docs, *pii.train(docs)[:2]).withColumnRenamed("id", "doc_id")
 
 
 QUERIES = {
