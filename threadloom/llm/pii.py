@@ -13,6 +13,8 @@ taken back to the stored text.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -88,6 +90,8 @@ EMAIL_RE = regex.compile(
     rf"(?<![\p{{Latin}}\p{{Nd}}._%+/-])(?P<local>[A-Za-z0-9][A-Za-z0-9._%+-]*)(?P<at>[@＠]| ?[\[(] ?(?:at|AT) ?[\])] ?| (?:at|AT) )"
     rf"(?P<host>{_DOMAIN}(?:(?:\.| ?[\[(]?(?<=[ \[(])(?:dot|DOT)[\])]? ?){_DOMAIN})*(?:\.| ?[\[(]?(?<=[ \[(])(?:dot|DOT)[\])]? ?)[A-Za-z]{{2,24}})(?![A-Za-z0-9]|\.\w|-\w)"
 )
+#: Without one of these signs a text has no address of the pattern above.
+_EMAIL_SIGN = re.compile(r"[@＠]|[\[(] ?(?:at|AT) ?[\])]|[A-Za-z0-9._%+-] (?:at|AT) [A-Za-z0-9](?:[A-Za-z0-9-]*\.[A-Za-z0-9]|.{0,80}(?:dot|DOT))")
 NUMBER_RE = regex.compile(r"(?<![\p{Latin}\p{Nd}_.,:/+-])(?:\+|\(\+)?\(?\d(?:[ ().\-/]{0,2}\d){7,17}(?![\p{Latin}\p{Nd}_:/]|[-.,]\p{Nd}|-\p{L})")
 PHONE_SHAPES = [
     r"(?:\+|00)[1-9]\d{0,2}[ .-]?(?:\(0\) ?)?\(?\d{1,4}\)?(?:[ .-]?\d{2,8}){1,5}",
@@ -137,6 +141,7 @@ _PLAIN = regex.compile(r"(?<![\w@.+/\p{M}-])[\p{L}\p{M}]+(?![\w@+/\p{M}-]|\.\w)"
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: dict[str, list[int]] = {}
+        words: Counter[str] = Counter()
         for text in batch["text"].to_pylist():
             form = unify(text)[0]
             titles = {m.end() for m in _TITLE.finditer(form)}
@@ -152,12 +157,11 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for h in () if part in PRONOUNS else _halves(part):
                         c = counts.setdefault(h, [0, 0, 0, 0])
                         c[0 if first else 1] += 1
-            for w in _PLAIN.findall(form):
-                if len(w) < 40:
-                    if w[0].isupper():
-                        counts.setdefault(w if not w.isupper() else w.capitalize(), [0, 0, 0, 0])[2] += 1
-                    elif w.islower():
-                        counts.setdefault(w[0].upper() + w[1:], [0, 0, 0, 0])[3] += 1
+            words.update(_PLAIN.findall(form))
+        for w, n in words.items():
+            if len(w) < 40 and (w[0].isupper() or w.islower()):
+                title = w.capitalize() if w.isupper() else w[0].upper() + w[1:]
+                counts.setdefault(title, [0, 0, 0, 0])[2 if w[0].isupper() else 3] += n
         keys = list(counts)
         values = np.array(list(counts.values()), np.int64).reshape(-1, 4)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array(values[:, k]) for k in range(4))], names=["token", "first", "last", "capital", "small"])
@@ -192,7 +196,7 @@ def _around(form: str, start: int, end: int) -> tuple[str, str]:
 
 
 def _emails(form: str) -> Iterator[Span]:
-    if not any(sign in form for sign in ("@", "＠", "at ", "at)", "at]", "AT")):
+    if _EMAIL_SIGN.search(form) is None:
         return
     for m in EMAIL_RE.finditer(form):
         before, after = _around(form, m.start(), m.end())
