@@ -223,13 +223,14 @@ def _numbers(form: str) -> Iterator[Span]:
         before, after = _around(form, start, end)
         digits = sum(c.isdigit() for c in value)
         shape = PHONE_SHAPE.fullmatch(value)
+        identity = _BEFORE[ID].search(before) or _AFTER_ID.match(after)
         yield Span(PHONE, start, end, (
             YES if regex.match(r"\+|00[1-9]", value) and 9 <= digits <= 15 else 0,
             YES if shape else NO,
-            YES if _BEFORE[PHONE].search(before) else 0,
+            NO if identity else YES if _BEFORE[PHONE].search(before) else 0,
             NO if _NOT.search(before) or regex.match(r" ?(?:ids|Hz|-B)", after) else 0,
             YES if 9 <= digits <= 14 else NO,
-            NO if ID_STRONG.fullmatch(value) or _BEFORE[ID].search(before) or _AFTER_ID.match(after) else 0,
+            NO if identity or ID_STRONG.fullmatch(value) else 0,
             YES if regex.search(r"[ ().-]", value) else 0,
         ))
     for m in ID_RE.finditer(form):
