@@ -114,7 +114,7 @@ _BEFORE_NAME = regex.compile(rf"(?:{BEFORE_NAME})[ \n]*")
 _AFTER_NAME = regex.compile(AFTER_NAME)
 _LED = regex.compile(_INITIALS)
 _SENTENCE_END = regex.compile(r"[.!?。:\n]\s*$")
-_FRENCH = regex.compile(r"\b(?:la|le|les|une|des|du|parle|est|de)\b")
+_FRENCH = regex.compile(r"\b(?:la|le|les|une|des|du|parle|est|de)\s")
 _BEFORE = {EMAIL: regex.compile(BEFORE_EMAIL), PHONE: regex.compile(BEFORE_PHONE), ID: regex.compile(BEFORE_ID), ADDRESS: regex.compile(BEFORE_ADDRESS)}
 _NOT = regex.compile(rf"(?<![\p{{L}}])(?:{NOT_PERSONAL})")
 _AFTER_ID = regex.compile(r",? (?:usuńcie|please remove|steht noch|убрать|trafił|from |handed)|请从|\) oddał")
