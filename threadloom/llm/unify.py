@@ -3,7 +3,7 @@
 Normalisation quick-check properties find the unstable stretches of a text. Only these are
 rewritten, together with the character before them, which a mark may compose with; stable
 text is copied unchanged, and ASCII text is returned as it is. Letters of other alphabets
-that are drawn alike are settled by the blank-delimited unit they stand in: evidence that
+that are drawn alike are settled by the unit of letters, digits and joining signs they stand in: evidence that
 does not depend on the drawn-alike letters decides on its alphabet.
 """
 
@@ -121,7 +121,8 @@ def _segment(text: str, start: int, end: int) -> tuple[str, list[int]]:
     return out, places
 
 
-_UNIT = re.compile(r"\S+")
+#: A unit: letters of the alphabets that share shapes, marks, digits, and what joins them in names.
+_UNIT = re.compile(r"[0-9A-Za-z\u00aa\u00b5\u00ba\u00c0-\u02af\u0300-\u036f\u0370-\u058f\u13a0-\u13ff\u1c80-\u1c8f\u1e00-\u1fff\u2c60-\u2c7f\ua640-\ua7ff\uab30-\uabbf._'’-]+")
 _OTHER_ALPHABETS = frozenset("ɑɡ") | {chr(c) for a, b in ((0x370, 0x590), (0x13A0, 0x1400), (0x1C80, 0x1C90), (0x1F00, 0x2000), (0xA640, 0xA6A0), (0xAB70, 0xABC0)) for c in range(a, b)}
 
 
