@@ -94,3 +94,28 @@ def test_em_finds_the_reliable_labeler():
     assert abs(share - 0.4) < 0.05 and table[1][0][1] > table[1][1][1]
     by = {tuple(p): x for p, x in zip(patterns, post, strict=True)}
     assert np.mean([(by[tuple(v)] > 0.5) == t for v, t in zip(votes, y, strict=True)]) > 0.92
+
+
+# names in scripts without case, in places that show them and in places that do not
+CASELESS = [
+    ("डॉ. <निदवाली> ने भार सारणी देखी।", "कल <निदवाली> ने कोड लिखा।"), ("लेखक: <कुसुमेरा>", "यह काम <कुसुमेरा> को मिला।"), ("قال الدكتور <سامر> إن الطبقة ثابتة.", "أرسل <سامر> الملف."),
+    ("นาย<กรวิชญ์> เขียนโค้ด", "เมื่อวานพบ<กรวิชญ์>ในห้อง"), ("请联系<亓澜初>老师。", "昨天<亓澜初>修好了模型。"), ("担当は<霧沢澪音>さんです。", "昨日<霧沢澪音>が直しました。"),
+]
+PLAIN = ["भार सारणी बढ़ती है।", "مصفوفة الأوزان تزداد.", "เมทริกซ์น้ำหนักเพิ่มขึ้น คุณภาพดี", "北京大学教授很多。", "お客様と皆さんの仕様", "नमस्ते दुनिया!"]
+
+
+def marked(line):
+    at = line.index("<")
+    return line.replace("<", "").replace(">", ""), at, line.index(">") - 1
+
+
+@pytest.mark.parametrize("limit", [pii.BROADCAST_NAMES, 0])
+def test_names_in_scripts_without_case(spark, limit):
+    docs = [d[:2] for d in corpus(100, 3)[0]]
+    lines = [marked(x)[0] for shown, later in CASELESS for x in (shown, shown, shown, later)] + PLAIN
+    df = spark.createDataFrame(docs + [(1000 + k, t) for k, t in enumerate(lines)], "id bigint, text string")
+    model, names, proposals = pii.train(df, broadcast_names=limit)
+    got = {}
+    for r in pii.find_personal(df, model, names, proposals).where("id >= 1000").collect():
+        got.setdefault(lines[r["id"] - 1000], set()).add((r["pii_type"], r["start_pos"], r["end_pos"]))
+    assert got == {t: {("name", a, b)} for pair in CASELESS for t, a, b in map(marked, pair)}

@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm import caseless
 from threadloom.llm.unify import unify
 from threadloom.session import materialise
 
@@ -157,6 +158,13 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for h in () if part in PRONOUNS else _halves(part):
                         c = counts.setdefault(h, [0, 0, 0, 0])
                         c[0 if first else 1] += 1
+            if caseless.ANY.search(form):
+                named = [(m[0], False) for m in HAN_NAME_RE.finditer(form) if len(m[0]) <= caseless.LONG]
+                for part, first in [*named, *caseless.harvest(form)]:
+                    counts.setdefault(part, [0, 0, 0, 0])[0 if first else 1] += 1
+                for w in caseless.SPACED_WORD.findall(form):
+                    if len(w) < 40:
+                        counts.setdefault(w, [0, 0, 0, 0])[2] += 1
             words.update(_PLAIN.findall(form))
         for w, n in words.items():
             if len(w) < 40 and (w[0].isupper() or w.islower()):
@@ -167,18 +175,38 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array(values[:, k]) for k in range(4))], names=["token", "first", "last", "capital", "small"])
 
 
-def gazetteer(docs: DataFrame, least_share: float = 0.1, most_small: float = 0.1) -> DataFrame:
+def _stretches(names: frozenset[str] | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch["text"].to_pylist():
+                counts = Counter(part for _, part in caseless.stretches(unify(text)[0]) if names is None or part in names)
+                yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["token", "uses"])
+
+    return run
+
+
+def gazetteer(docs: DataFrame, least_share: float = 0.1, most_small: float = 0.1, broadcast_names: int = BROADCAST_NAMES) -> DataFrame:
     """(token, first, last): words that name contexts of the corpus show to be names.
 
     A word counts if at least ``least_share`` of its capitalised uses stand in a context
     that only names stand in, and it is hardly used in small letters. ``first`` and
-    ``last`` count its uses as a given and as a family name.
+    ``last`` count its uses as a given and as a family name. In scripts without case all
+    uses count as capitalised; in those without blanks every place that holds the name is
+    a use, and these are counted in a second pass over the texts of such scripts.
     """
     found = docs.select("text").where("text IS NOT NULL").mapInArrow(_evidence, "token string, first bigint, last bigint, capital bigint, small bigint")
     sums = found.groupBy("token").agg(*[F.sum(c).alias(c) for c in ("first", "last", "capital", "small")])
     shown = F.col("first") + F.col("last")
-    keep = (shown >= 2) & (shown >= least_share * F.col("capital")) & (F.col("small") <= most_small * F.col("capital"))
-    return sums.where(keep).select("token", "first", "last")
+    shares = (shown >= least_share * F.col("capital")) & (F.col("small") <= most_small * F.col("capital"))
+    candidates = materialise(sums.where((shown >= 2) & (shares | (F.col("capital") == 0))))
+    in_run = F.col("token").rlike(f"^{caseless.RUN_JAVA}+$")
+    kept, runs = candidates.where(~in_run & shares), candidates.where(in_run)
+    if n := runs.count():
+        wanted = frozenset(r["token"] for r in runs.select("token").collect()) if n <= broadcast_names else None
+        texts = docs.select("text").where(F.col("text").rlike(caseless.RUN_JAVA))
+        uses = texts.mapInArrow(_stretches(wanted), "token string, uses bigint").join(runs.select("token"), "token").groupBy("token").agg(F.sum("uses").alias("uses"))
+        kept = kept.select("token", "first", "last").union(runs.join(uses, "token").where(shown >= least_share * F.col("uses")).select("token", "first", "last"))
+    return kept.select("token", "first", "last")
 
 
 # ---------------------------------------------------------------- proposals
@@ -309,8 +337,14 @@ def _names(form: str, known: Callable[[str], tuple[int, int] | None]) -> Iterato
                 YES if n == 2 and hit is not None else 0,
                 NO if hit is None and sentence_start and not titled else 0,
             ))
+    if caseless.ANY.search(form) is None:
+        return
+    taken = []
     for m in HAN_NAME_RE.finditer(form):
+        taken.append(m.span())
         yield Span(NAME, m.start(), m.end(), (0, 0, YES, YES, 0, 0, 0))
+    for start, end, (hit, titled, lead, follow, two) in caseless.spans(form, taken, known):
+        yield Span(NAME, start, end, (YES if hit else 0, YES if titled else 0, YES if lead else 0, YES if follow else 0, 0, YES if two else 0, 0))
 
 
 def propose(form: str, known: Callable[[str], tuple[int, int] | None]) -> list[Span]:
@@ -414,7 +448,10 @@ def _capitals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, tokens = [], []
         for i, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            found = {h for t in TOKEN_RE.findall(unify(text)[0]) for h in _halves(t)} if text else ()
+            form = unify(text)[0] if text else ""
+            found = {h for t in TOKEN_RE.findall(form) for h in _halves(t)}
+            if caseless.ANY.search(form):
+                found |= {*caseless.SPACED_WORD.findall(form), *(part for _, part in caseless.stretches(form))}
             tokens += found
             ids += [i] * len(found)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.string())], names=["id", "token"])
@@ -423,8 +460,9 @@ def _capitals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _with_names(docs: DataFrame, names: DataFrame, small: bool) -> DataFrame:
     """Rows (id, text, hits): with a large gazetteer the names that each text holds.
 
-    Capitalised words are joined with the gazetteer by word, salted because a few words
-    stand in most texts, and the hits of a text are brought back to it by id.
+    Capitalised words, and all possible names in scripts without case, are joined with the
+    gazetteer by word, salted because a few words stand in most texts, and the hits of a
+    text are brought back to it by id.
     """
     rows = docs.select("id", "text")
     if small:
@@ -472,7 +510,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, broadcast_names: int = BROADCAS
     ``sample`` spans a type, chosen by a hash (the number varies around ``sample`` by its
     square root). Proposals are (id, spans) for texts with any; they are written once.
     """
-    names = materialise(gazetteer(docs))
+    names = materialise(gazetteer(docs, broadcast_names=broadcast_names))
     small = names.count() <= broadcast_names
     known = {r["token"]: (r["first"], r["last"]) for r in names.collect()} if small else None
     proposals = materialise(_with_names(docs, names, small).where("text IS NOT NULL").mapInArrow(_proposals(known), f"id bigint, {_SPANS}"))
