@@ -115,3 +115,14 @@ def test_pipeline_lengths_and_nulls(spark):
 def test_pair_counts_overlap(spark):
     df = spark.createDataFrame([("aaa", 2)], "word string, freq bigint")
     assert {(r["l"], r["r"]): r["n"] for r in words.pair_counts(df).collect()} == {("a", "a"): 4, ("a", "</s>"): 2}
+
+
+def test_registered_training_has_the_default_budget(spark, sf):
+    from threadloom.plans import core_queries as q
+
+    budget = q.merge_budget(spark, sf).first()["merges"]
+    assert budget > 200 and q.bpe_train(spark, sf).count() == budget
+    start = len(models._start_vocabulary(q._words(spark, sf), "</b>", models.SPECIAL))
+    assert q.wp_train(spark, sf).count() > start + 200
+    sizes = [r["n"] for r in q.pipeline_encode(spark, sf).where("ids IS NOT NULL").select(F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n")).collect()]
+    assert sum(n < q.ENCODED_LENGTH for n in sizes) >= 0.99 * len(sizes)

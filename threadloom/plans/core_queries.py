@@ -312,19 +312,19 @@ def bpe_encode(spark, sf_dir):
 
 @query("bpe_train")
 def bpe_train(spark, sf_dir):
-    model = BPE.fit(_words(spark, sf_dir), 200)
+    model = BPE.fit(_words(spark, sf_dir))
     return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(model.merges)], "rank int, l string, r string")
 
 
 @query("wp_train")
 def wp_train(spark, sf_dir):
-    return WordPiece.fit(_words(spark, sf_dir), 200).vocabulary_frame(spark)
+    return WordPiece.fit(_words(spark, sf_dir)).vocabulary_frame(spark)
 
 
 @query("wp_tokenize")
 def wp_tokenize(spark, sf_dir):
     words = materialise(_words(spark, sf_dir))
-    model = WordPiece.fit(words, 200)
+    model = WordPiece.fit(words)
     return words.select("word", F.get(model.tokenize(F.array("word")), F.lit(0))["subtokens"].alias("subtokens"))
 
 
@@ -385,10 +385,14 @@ def post_flatten(spark, sf_dir):
     return nested.select("doc_id", _text(flat).alias("ids"), F.size(sequences.ones(flat)).alias("n_mask"))
 
 
+#: Ids kept of a text: the longest document of sf0.1 has 1,670.
+ENCODED_LENGTH = 2048
+
+
 @query("pipeline_encode")
 def pipeline_encode(spark, sf_dir):
     docs = spread(_docs(spark, sf_dir), "doc_id")
-    return TokenizationPipeline(pattern="gpt4o", merges=150).fit(docs).encode(docs, 64).select("doc_id", "ids", "attention_mask")
+    return TokenizationPipeline(pattern="gpt4o").fit(docs).encode(docs, ENCODED_LENGTH).select("doc_id", "ids", "attention_mask")
 
 
 # -------------------------------------------------- co-occurrence, embeddings

@@ -2,12 +2,14 @@
 
 Counting words is distributed; choosing merges is one decision after another. While the
 table of distinct words is small (a documented parameter) the loop runs on the driver with
-arrays: the symbols of all words in one array, a merge is a masked copy, and only the words
-it touches are counted again. Larger tables stay distributed, with one aggregate and one rewrite for each merge.
+the words at hand, and a merge visits and counts again only the words that hold its pair.
+Larger tables stay distributed, with one aggregate and one rewrite for each merge.
 """
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,82 +24,115 @@ CUT_EVERY = 10
 
 
 class _Corpus:
-    """All words side by side as symbol numbers, with -1 between them.
+    """The symbol numbers of all words, the counts of their pairs and where each pair stands.
 
-    Pair counts are kept for the whole corpus. A merge recounts only the words it touches,
-    before and after, and adds the difference.
+    Pairs lie in slots of arrays, so the best one is found by one pass over numbers. A
+    merge visits only the words listed for its pair and adds the difference of their
+    counts. The lists only grow while a pair lives; words that no longer hold it are skipped.
     """
 
     def __init__(self, words: list[str], freqs: list[int], kind: str) -> None:
         self.names: list[str] = []
         self.number: dict[str, int] = {}
         self.kind = kind
-        flat: list[int] = []
-        owner: list[int] = []
-        for k, word in enumerate(words):
-            symbols = [*word, W.BPE_END] if kind == "bpe" else [W.PIECE_START, *word]
-            flat += [self.id(s) for s in symbols] + [-1]
-            owner += [k] * (len(symbols) + 1)
-        self.symbols, self.owner, self.freq = np.array(flat, np.int64), np.array(owner, np.int64), np.array(freqs, np.int64)
-        self.pairs: dict[int, int] = {}
-        self.single: dict[int, int] = {}
-        self._count(self.symbols, self.owner, 1)
+        self.single = np.zeros(1024, np.int64)
+        self.slots: dict[tuple[int, int], int] = {}
+        self.free: list[int] = []
+        self.where: list[array] = []
+        self.left, self.right, self.count = (np.zeros(1024, np.int64) for _ in range(3))
+        self.words = [[self.id(s) for s in ([*word, W.BPE_END] if kind == "bpe" else [W.PIECE_START, *word])] for word in words]
+        self.freq = freqs
+        pairs: dict[tuple[int, int], int] = {}
+        places: dict[tuple[int, int], array] = {}
+        for k, (word, n) in enumerate(zip(self.words, freqs, strict=True)):
+            self._tally(word, n, pairs)
+            for p in set(zip(word, word[1:], strict=False)):
+                places.setdefault(p, array("l")).append(k)
+            for s in word:
+                self.single[s] += n
+        self._apply(pairs, places)
 
     def id(self, name: str) -> int:
         if name not in self.number:
             self.number[name] = len(self.names)
             self.names.append(name)
+            if len(self.names) > len(self.single):
+                self.single = np.concatenate([self.single, np.zeros_like(self.single)])
         return self.number[name]
 
-    def _count(self, symbols: np.ndarray, owner: np.ndarray, sign: int) -> None:
-        left, right = symbols[:-1], symbols[1:]
-        inside = (left >= 0) & (right >= 0)
-        self._add(self.pairs, (left << 32 | right)[inside], self.freq[owner[:-1][inside]], sign)
-        if self.kind == "piece":
-            real = symbols >= 0
-            self._add(self.single, symbols[real], self.freq[owner[real]], sign)
-
     @staticmethod
-    def _add(table: dict[int, int], keys: np.ndarray, weights: np.ndarray, sign: int) -> None:
-        found, inverse = np.unique(keys, return_inverse=True)
-        sums = np.zeros(len(found), np.int64)
-        np.add.at(sums, inverse, weights)
-        for k, n in zip(found.tolist(), (sign * sums).tolist(), strict=True):
-            if total := table.get(k, 0) + n:
-                table[k] = total
-            else:
-                table.pop(k, None)
+    def _tally(word: list[int], n: int, pairs: dict[tuple[int, int], int]) -> None:
+        for p in zip(word, word[1:], strict=False):
+            pairs[p] = pairs.get(p, 0) + n
+
+    def _slot(self, pair: tuple[int, int]) -> int:
+        if self.free:
+            k = self.free.pop()
+        else:
+            k = len(self.where)
+            self.where.append(array("l"))
+            if k == len(self.count):
+                self.left, self.right, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.left, self.right, self.count))
+        self.slots[pair] = k
+        self.left[k], self.right[k] = pair
+        return k
+
+    def _apply(self, pairs: dict[tuple[int, int], int], places: dict[tuple[int, int], array]) -> None:
+        for p, n in pairs.items():
+            k = self.slots.get(p)
+            if k is None:
+                if not n:
+                    continue
+                k = self._slot(p)
+            self.count[k] += n
+            if p in places:
+                self.where[k].extend(places[p])
+            if not self.count[k]:
+                del self.slots[p]
+                self.where[k] = array("l")
+                self.free.append(k)
 
     def best(self) -> tuple[str, str] | None:
         """The pair with the best score; of ties the smallest in code point order."""
-        if not self.pairs:
+        if not self.slots:
             return None
-        codes = np.fromiter(self.pairs.keys(), np.int64, len(self.pairs))
-        score = np.fromiter(self.pairs.values(), np.int64, len(self.pairs)).astype(float)
-        left, right = codes >> 32, codes & 0xFFFFFFFF
+        used = len(self.where)
+        score = self.count[:used].astype(float)
         if self.kind == "piece":
-            single = np.zeros(len(self.names))
-            single[list(self.single)] = list(self.single.values())
-            score = score / (single[left] * single[right])
+            product = self.single[self.left[:used]].astype(float) * self.single[self.right[:used]]
+            score = np.divide(score, product, out=np.zeros(used), where=score > 0)
         ties = np.flatnonzero(score == score.max())
-        return min((self.names[left[k]], self.names[right[k]]) for k in ties)
+        return min((self.names[self.left[k]], self.names[self.right[k]]) for k in ties)
 
     def merge(self, pair: tuple[str, str]) -> None:
         """Replace the pair from left to right; occurrences do not overlap."""
         a, b = self.number[pair[0]], self.number[pair[1]]
-        hit = np.flatnonzero((self.symbols[:-1] == a) & (self.symbols[1:] == b))
-        if a == b and len(hit):
-            run_start = np.maximum.accumulate(np.where(np.r_[True, np.diff(hit) > 1], np.arange(len(hit)), 0))
-            hit = hit[(np.arange(len(hit)) - run_start) % 2 == 0]
-        touched = np.zeros(len(self.freq), bool)
-        touched[self.owner[hit]] = True
-        mine = touched[self.owner]
-        self._count(self.symbols[mine], self.owner[mine], -1)
-        self.symbols[hit] = self.id(pair[0] + pair[1])
-        keep = np.ones(len(self.symbols), bool)
-        keep[hit + 1] = False
-        self.symbols, self.owner, mine = self.symbols[keep], self.owner[keep], mine[keep]
-        self._count(self.symbols[mine], self.owner[mine], 1)
+        new = self.id(pair[0] + pair[1])
+        pairs: dict[tuple[int, int], int] = {}
+        places: dict[tuple[int, int], array] = {}
+        for k in set(self.where[self.slots[a, b]]):
+            old, n = self.words[k], self.freq[k]
+            word: list[int] = []
+            at = 0
+            while at < len(old):
+                if old[at] == a and at + 1 < len(old) and old[at + 1] == b:
+                    word.append(new)
+                    at += 2
+                else:
+                    word.append(old[at])
+                    at += 1
+            if len(word) == len(old):
+                continue
+            merged = (len(old) - len(word)) * n
+            self.single[a] -= merged
+            self.single[b] -= merged
+            self.single[new] += merged
+            self._tally(old, -n, pairs)
+            self._tally(word, n, pairs)
+            for p in set(zip(word, word[1:], strict=False)).difference(zip(old, old[1:], strict=False)):
+                places.setdefault(p, array("l")).append(k)
+            self.words[k] = word
+        self._apply(pairs, places)
 
 
 def _on_driver(words: DataFrame, budget: int, kind: str) -> list[tuple[str, str]]:
