@@ -78,3 +78,9 @@ def test_very_long_text():
     text = ("frozе​n ｌist " * 50_000) + "x" * 100_000
     form, places = U.unify(text)
     assert form == ("frozen list " * 50_000) + "x" * 100_000 and len(places) == len(form)
+
+
+@pytest.mark.parametrize("whole", ["ো", "ৌ", "ொ", "ೊ", "ൊ", "ဦ"])
+def test_split_vowel_signs_are_composed(whole):
+    text = f"xক{unicodedata.normalize('NFD', whole)} y"
+    assert text != unicodedata.normalize("NFC", text) == U.unify(text)[0]

@@ -64,6 +64,13 @@ def _readable(c: str) -> str:
     return plain if all(unicodedata.category(x)[0] in "LNM" for x in plain) else c
 
 
+@lru_cache(maxsize=1)
+def _joining() -> frozenset[str]:
+    """Characters that compose with the one before them, marks of combining class 0 included."""
+    whole = (c for c in map(chr, range(0x80, 0x1_2000)) if unicodedata.decomposition(c)[:1] not in ("", "<") and unicodedata.is_normalized("NFC", c))
+    return frozenset(x for c in whole for x in unicodedata.normalize("NFD", c)[1:])
+
+
 def _is_unstable(c: str) -> bool:
     """Quick check: may this character change, or compose with the one before it?"""
     return (
@@ -72,6 +79,7 @@ def _is_unstable(c: str) -> bool:
         or unicodedata.combining(c) != 0
         or not unicodedata.is_normalized("NFC", c)
         or 0x1160 <= ord(c) < 0x1200
+        or c in _joining()
         or _readable(c) != c
     )
 
