@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -27,6 +28,9 @@ CASES = [
     "كتبت: «الطبقة تزداد.»| دربنا النموذج.| لماذا تزداد؟| نعم.",
     "รุ่น0.14.3ทำให้ดีขึ้น| เราฝึกคลังคำไป195ครั้ง[ckpt-a]| ไม่ควรแก้",
     "It starts here.|The next follows.| She said (quietly) no.",
+    "Sgt. Miller met Gen. Ortiz in Washington, D.C. on Monday.| See Jan. 5 and Feb. 6 again.| Lo vio el Sr. Gómez.",
+    "A (b (c (d (e) f. G) h. I) j. K) l.| Next one.| I lost :( Why?| It came.| Done :)",
+    "A 5\" disk spins.| It fails.| He said \"No.\" and left.| He (never closed.| It “stayed open.| End",
     "It​ is fro‍zen. |See Ｅｑ. 2 and Sеc. 3 for it.",
 ]
 
@@ -68,6 +72,41 @@ def test_any_chunking_gives_the_same_and_nothing_is_lost(text, chunk):
     assert all(a < b for a, b in spans) and all(b <= c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
 
 
+@pytest.mark.parametrize("gap", ["\u200b" * 40, "\u0301" * 3, "\r" * 90])
+def test_no_window_bounds_a_rule(gap):
+    cut = sentences.splitter()
+    text = f"x{'y' * 25} Dr{gap}. Smith came (a (b (c (d (e) f. G) h. I) j. K) l. M). " * 3
+    whole = cut.spans([text], len(text))
+    for chunk in range(5, 70, 3):
+        assert cut.spans([text], chunk) == whole, chunk
+    assert cut.spans([text, "x:", "(a. B) c.", text], 31) == [*whole, *cut.spans(["x:"]), *cut.spans(["(a. B) c."]), *whole]
+
+
+def _outermost(text):
+    """Brute force: which brackets of a paragraph are the outermost of a pair."""
+    stack, pairs = [], []
+    for k, c in enumerate(text):
+        if c == "(":
+            stack.append(k)
+        elif c == ")" and stack:
+            pairs.append((stack.pop(), k))
+    return {x for a, b in pairs if not any(c < a and b < d for c, d in pairs) for x in (a, b)}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("()ab\n", max_size=14), max_size=6))
+def test_brackets_pair_like_a_stack(texts):
+    texts = [t.replace("\n\n", "\nx") for t in texts if t]
+    if not texts:
+        return
+    sym, _ = sentences.splitter()._symbols(np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32))
+    starts = np.cumsum([0, *map(len, texts)])[:-1]
+    out = sentences._pair_up(sym, starts)
+    for at, t in zip(starts, texts, strict=True):
+        got = {k for k in range(len(t)) if out[at + k] == sentences.OPEN_B}
+        assert got == {k for k in _outermost(t) if t[k] == "("}
+
+
 def test_long_text_and_frame(spark):
     long = "It is a plain line. " * 30_000
     rows = [(1, long, "x"), (2, None, "x"), (3, "", "x"), (4, "  \n", "x"), (5, "One. Two.", "x"), (5, "One. Two.", "x")]

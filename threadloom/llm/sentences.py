@@ -8,8 +8,13 @@ break), the open quote or bracket, and whether the script has no end marks.
 
 A table run over a stretch of text is a function from state to state. Long texts are cut
 into chunks, the functions of all chunks are computed side by side and composed by a
-parallel prefix scan, and a last pass emits the bits with every chunk's true start state.
-Short texts are chunks whose start state is known.
+parallel prefix scan, and a last pass emits the output with every chunk's true start state.
+Both transducers go this way, the word transducer first. Short texts are chunks whose start
+state is known.
+
+Brackets nest to any depth, which no finite table can count. They are paired by running
+sums and running minima, scans as well, within each paragraph; only the outermost of a pair
+reach the table. Brackets and quotes that are never closed are plain signs.
 """
 
 from __future__ import annotations
@@ -25,25 +30,27 @@ from pyspark.sql import DataFrame
 from threadloom.llm.unify import _LATIN, is_invisible
 
 CHUNK = 4096
-#: Characters the word transducer needs before a place; longer than any of its rules.
-WARM_UP = 32
 
-# Abbreviations. Of these the first never end a sentence, the others end one
-# if a capital, an opening quote or nothing follows.
+# Abbreviations of English, German, French, Spanish, Portuguese, Italian, Dutch,
+# Polish, Russian, Hindi and Arabic. Of these the first never end a sentence, the others end
+# one if a capital, an opening quote or nothing follows.
 NEVER_LAST = """
 dr prof mr mrs ms mme st fig figs eq eqs éq cf vs ca bzw abb hr inż mgr hab ul os zob por np tzn tzw wg m.in vgl evtl inkl
 e.g i.e z zzgl проф см рис табл ул напр т.е डॉ श्री सुश्री د أ
+sgt gen col lt cpl capt cmdr maj adm gov sen rep hon rev pres messrs mt ft
+sr sra srta dra dña prof.ª av ej pág núm sig sigg dott ing avv mlle mm dhr mevr
 """.split()
 MAYBE_LAST = """
-no nr ok tab sec str approx etc usw itd itp al et.al p.m a.m u.s u.k u.n e.u ph.d jr sr inc ltd corp co vol ch pp art est др пр г гг в r w т.д т.п ex z.b u.a d.h
+no nr ok tab sec str approx etc usw itd itp al et.al p.m a.m u.s u.k u.n e.u ph.d jr inc ltd corp co vol ch pp art est др пр г гг в r w т.д т.п ex z.b u.a d.h
+d.c u.s.a u.s.s.r b.a m.a m.d b.c a.d dept univ assn bros ave blvd rd jan feb mar apr jun jul aug sept oct nov dec mon tue wed thu fri sat sun
 """.split()
 #: Words before the number of a day; the stop after the number ends nothing.
 BEFORE_DAY = "am vom zum bis ab seit dem den der".split()
 
 # Symbols of the sentence transducer.
 (UP, LOW, OTH, THAI, DIG, SP, NL, PLAIN, NEVER, MAYBE, EX, STRONG, ELL, OPEN_C, OPEN_L, OPEN_G, OPEN_K, CLOSE_C, CLOSE_G,
- CLOSE_K, STRAIGHT, OPEN_B, CLOSE_B, DASH, COLON, COMMA, OT, SKIP) = range(28)
-N_SYMBOLS = 28
+ CLOSE_K, STRAIGHT, OPEN_B, CLOSE_B, DASH, COLON, COMMA, OT, SKIP, LAST_C, LAST_S) = range(30)
+N_SYMBOLS = 30
 
 _CHARS = {
     EX: "!?‽⁇⁈⁉", STRONG: "。！？｡．।॥۔؟။።፧᙮", ELL: "…⋯", OPEN_C: "“‟", OPEN_L: "„‚", OPEN_G: "«‹", OPEN_K: "「『《〈",
@@ -118,6 +125,8 @@ class _Words:
                     self.children.append({})
                 node = self.children[node][c]
             self.kind[node] = kind
+        #: nodes behind a full stop
+        self.stops = {child["."] for child in self.children if "." in child}
         letters = sorted({c for rule in rules for c in rule} - set(". #"))
         #: letter symbols come in pairs (small, capital); then other letter, mark, digit, stop, blank, rest, nothing
         self.alphabet = {c: k for k, c in enumerate(letters)}
@@ -126,17 +135,20 @@ class _Words:
         self.other, self.mark, self.digit, self.stop, self.blank, self.rest, self.skip = n, n + 2, n + 3, n + 4, n + 5, n + 6, n + 7
         self.symbols = n + 8
         self.after, self.out, index = _compile((0, ""), self._step, self.symbols)
-        self.dead = index[(-1, "")]
+        self.states = len(index)
 
     def _step(self, state: tuple[int, str], s: int) -> tuple[tuple[int, str], int]:
         node, single = state
         child = self.children[node] if node >= 0 else {}
+        fresh = node == 0 or node in self.stops  # a letter here may begin a word
         if s == self.skip:
             return state, 0
         if s == self.mark:
             return (-1 if node else 0, single if single in "Ul" else ""), 0
         if s < self.mark:
             c = self.letters[s // 2] if s < self.other else ""
+            if c not in child and fresh:
+                return (self.children[0].get(c, -1), "U" if s % 2 else "l"), 0
             return (child.get(c, -1), ("U" if s % 2 else "l") if node == 0 else ""), 0
         if s == self.digit:
             digits = {0: "1"}.get(node, "") if not single else "2" if single == "1" and node == -1 else ""
@@ -166,14 +178,15 @@ class _Words:
 # ------------------------------------------------------------ sentence transducer
 #
 # A state is (place, detail, line, thai). Places: "start" before a sentence, "in" inside it
-# (detail "" or ":"), "end" after an end mark (detail: symbol, blank seen), "said" after a
-# closed quote with an end mark inside (detail: how the quote began, blank seen), "gap"
-# after a blank in a script without end marks, "quote" (detail: kind, how it began, end
-# mark last), "bracket" (detail: depth, at the start, end mark last).
-# ``line`` is 1 after a line break with nothing but blanks since.
+# (detail "", ":" or "#" after a digit), "end" after an end mark (detail: symbol, blank
+# seen), "said" after a closed quote with an end mark inside (detail: how the quote began,
+# blank seen), "gap" after a blank in a script without end marks, "quote" (detail: kind, how
+# it began, end mark last), "bracket" (detail: at the start, end mark last).
+# ``line`` is 1 after a line break with nothing but blanks since. A straight quote after a
+# digit is an inch mark. LAST_C and LAST_S are quotes that close but cannot open.
 
 _QUOTES = {OPEN_C: "C", OPEN_L: "L", OPEN_G: "G", OPEN_K: "K", STRAIGHT: "S"}
-_CLOSERS = {"C": (CLOSE_C, STRAIGHT), "L": (CLOSE_C, OPEN_C, STRAIGHT), "G": (CLOSE_G,), "K": (CLOSE_K,), "S": (STRAIGHT,)}
+_CLOSERS = {"C": (CLOSE_C, STRAIGHT, LAST_S), "L": (CLOSE_C, OPEN_C, STRAIGHT, LAST_C, LAST_S), "G": (CLOSE_G,), "K": (CLOSE_K,), "S": (STRAIGHT, LAST_S)}
 _ENDS = (PLAIN, MAYBE, EX, STRONG, ELL)
 _LATE = (CLOSE_C, CLOSE_G, CLOSE_K, CLOSE_B)
 
@@ -184,10 +197,10 @@ def _begin(s: int, how: str, thai: int) -> tuple:
     if s in _QUOTES:
         return ("quote", (_QUOTES[s], how, 0), 0, thai)
     if s == OPEN_B:
-        return ("bracket", (1, how == "lead", 0), 0, thai)
+        return ("bracket", (how == "lead", 0), 0, thai)
     if s in _ENDS:
         return ("end", (s, 0), 0, thai)
-    return ("in", ":" if s == COLON else "", 0, thai)
+    return ("in", {COLON: ":", DIG: "#"}.get(s, ""), 0, thai)
 
 
 def _starts(end: int, blank: int, s: int) -> bool:
@@ -231,12 +244,16 @@ def _step(state: tuple, s: int) -> tuple[tuple, int]:
             return (place, (detail[0], 1), line, thai), 0
         if place == "in" and thai:
             return ("gap", "", line, thai), 0
+        if place == "in" and detail == "#":
+            return ("in", "", line, thai), 0
         return state, 0
     if place == "start":
         return _begin(s, "lead", 0), 1
     if place == "gap":
         return _begin(s, "lead", 0), 1
     if place == "in":
+        if s == STRAIGHT and detail == "#":
+            return ("in", "", 0, thai), 0
         return _begin(s, "colon" if detail == ":" else "mid", thai), 0
     if place == "end":
         end, blank = detail
@@ -266,14 +283,69 @@ def _step(state: tuple, s: int) -> tuple[tuple, int]:
             return (("said", (how, 0), 0, thai) if ended else ("in", "", 0, thai)), 0
         keep = s in _ENDS or ended and s in _LATE
         return ("quote", (kind, how, int(keep)), 0, thai | (s == THAI)), 0
-    depth, lead, ended = detail
+    lead, ended = detail
     if s == CLOSE_B:
-        if depth == 1:
-            return (("end", (PLAIN, 0), 0, thai) if lead and ended else ("in", "", 0, thai)), 0
-        return ("bracket", (depth - 1, lead, ended), 0, thai), 0
-    if s == OPEN_B:
-        return ("bracket", (min(depth + 1, 3), lead, 0), 0, thai), 0
-    return ("bracket", (depth, lead, int(s in _ENDS)), 0, thai | (s == THAI)), 0
+        return (("end", (PLAIN, 0), 0, thai) if lead and ended else ("in", "", 0, thai)), 0
+    return ("bracket", (lead, int(s in _ENDS)), 0, thai | (s == THAI)), 0
+
+
+# ------------------------------------------------- pairs of brackets and quotes
+
+def _new_lows(steps: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Where the running sum of ``steps`` within a part falls below all before it, and below 0.
+
+    ``part`` does not decrease. Each part's sums lie below those of all parts before it, so
+    one running minimum serves all.
+    """
+    if not len(steps):
+        return np.zeros(0, bool)
+    total = np.cumsum(steps)
+    first = np.r_[True, part[1:] != part[:-1]]
+    before = (total - steps)[first][np.cumsum(first) - 1]
+    shift = (np.cumsum(first) - 1) * np.int64(2 * len(steps) + 2)
+    level = total - before - shift
+    least = np.minimum.accumulate(np.minimum(level, -shift))
+    return level < np.minimum(np.r_[0, least[:-1]], -shift)
+
+
+def _pair_up(sym: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The symbols of texts one after the other, with only what pairs kept as brackets and quotes.
+
+    ``starts`` are the places where texts begin. Nothing pairs across a blank line.
+    """
+    marks = np.isin(sym, (OPEN_B, CLOSE_B, OPEN_C, OPEN_L, OPEN_G, OPEN_K, STRAIGHT))
+    if not marks.any():
+        return sym
+    sym = sym.copy()
+    visible = np.cumsum(~np.isin(sym, (SP, NL, SKIP)))
+    lines = np.flatnonzero(sym == NL)
+    bounds = np.zeros(len(sym), np.int64)
+    bounds[starts] = 1
+    bounds[lines[1:][visible[lines[1:]] == visible[lines[:-1]]]] = 1
+    paragraph = np.cumsum(bounds)
+    at = np.flatnonzero((sym == OPEN_B) | (sym == CLOSE_B))
+    padded = np.r_[[NL] * 3, sym]
+    back = lambda n: np.where(paragraph[np.maximum(at - n, 0)] == paragraph[at], padded[at + 3 - n], NL)
+    alone = lambda n: np.isin(back(n), (SP, NL))
+    face = (back(1) == COLON) & alone(2) | (back(1) == DASH) & (back(2) == COLON) & alone(3)  # :( and :-(
+    sym[at[face & (sym[at] == OPEN_B)]] = OT
+    at = at[~face]
+    steps = np.where(sym[at] == OPEN_B, 1, -1)
+    part = paragraph[at]
+    loose = (steps < 0) & _new_lows(steps, part)
+    loose |= (steps > 0) & _new_lows(-steps[::-1], -part[::-1])[::-1]
+    depth = np.cumsum(np.where(loose, 0, steps))
+    outer = np.where(steps > 0, depth == 1, depth == 0)
+    sym[at[(loose & (steps > 0)) | ~(loose | outer)]] = OT
+    for opens, closers, dead in (
+        (OPEN_C, (CLOSE_C, STRAIGHT), LAST_C), (OPEN_L, (CLOSE_C, OPEN_C, STRAIGHT), OT), (OPEN_G, (CLOSE_G,), OT), (OPEN_K, (CLOSE_K,), OT), (STRAIGHT, (STRAIGHT,), LAST_S),
+    ):
+        at, ends = np.flatnonzero(sym == opens), np.flatnonzero(np.isin(sym, (*closers, *((LAST_C,) if OPEN_C in closers else ()))))
+        if len(at):
+            k = np.searchsorted(ends, at, side="right")
+            closed = (k < len(ends)) & (paragraph[ends[np.minimum(k, max(len(ends) - 1, 0))]] == paragraph[at] if len(ends) else False)
+            sym[at[~closed]] = dead
+    return sym
 
 
 class Splitter:
@@ -313,20 +385,21 @@ class Splitter:
                 bits[t] = out[at]
         return state, bits
 
-    def _functions(self, symbols: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def _functions(after: np.ndarray, width: int, states: int, symbols: np.ndarray) -> np.ndarray:
         """State-to-state function of each column; states that have met are run once."""
-        n = symbols.shape[1]
-        current = np.tile(np.arange(self.states, dtype=np.int64), (n, 1))
-        merged = [np.arange(self.states)] * n
-        t = 0
-        for stop in (16, 128, symbols.shape[0]):
-            for t in range(t, min(stop, symbols.shape[0])):
-                current = self.after[current * N_SYMBOLS + symbols[t][:, None]]
-            t += 1
+        steps, n = symbols.shape
+        current = np.tile(np.arange(states, dtype=np.int64), (n, 1))
+        merged = [np.arange(states)] * n
+        t, stop = 0, 8
+        while t < steps:
+            for t in range(t, min(stop, steps)):
+                current = after[current * width + symbols[t][:, None]]
+            t, stop = t + 1, stop * 4
             rows = [np.unique(row, return_inverse=True) for row in current]
-            width = max(len(u) for u, _ in rows)
+            most = max(len(u) for u, _ in rows)
             merged = [inverse[m] for (_, inverse), m in zip(rows, merged, strict=True)]
-            current = np.array([np.pad(u, (0, width - len(u)), mode="edge") for u, _ in rows])
+            current = np.array([np.pad(u, (0, most - len(u)), mode="edge") for u, _ in rows])
         return np.array([row[m] for row, m in zip(current, merged, strict=True)])
 
     @staticmethod
@@ -340,78 +413,53 @@ class Splitter:
             step *= 2
         return f
 
-    def starts(self, texts: list[str], chunk: int = CHUNK) -> list[np.ndarray]:
-        """For each text the code points where its sentences start."""
-        pieces: list[tuple[int, int, int]] = []
-        points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
-        for k, p in enumerate(points):
-            pieces += [(k, a, min(a + chunk, len(p))) for a in range(0, len(p), chunk)]
+    def _first_states(self, after: np.ndarray, width: int, states: int, symbols: np.ndarray, chunk: int) -> np.ndarray:
+        """The true state at the start of each chunk of a long text, the last one included."""
+        whole = len(symbols) // chunk
+        functions = self._functions(after, width, states, symbols[: whole * chunk].reshape(whole, chunk).T)
+        return np.r_[0, self._scan(functions)[:, 0]]
+
+    def _transduce(self, after: np.ndarray, out: np.ndarray, width: int, states: int, symbols: list[np.ndarray], skip: int, chunk: int) -> list[np.ndarray]:
+        """The output of a transducer for each text, all chunks of all texts side by side."""
+        pieces: list[tuple[int, int, int, int]] = []
+        for k, s in enumerate(symbols):
+            first = self._first_states(after, width, states, s, chunk) if len(s) > chunk else (0,)
+            pieces += [(k, a, min(a + chunk, len(s)), int(first[a // chunk])) for a in range(0, len(s), chunk)]
         pieces.sort(key=lambda x: x[2] - x[1])
-        found: list[list[np.ndarray]] = [[] for _ in texts]
-        symbols: dict[int, np.ndarray] = {}
-        for k, p in enumerate(points):
-            if len(p) > chunk:
-                symbols[k] = self._classify([p], [(0, 0, len(p))], chunk)[:, 0]
-        long: dict[int, np.ndarray] = {}
-        for k, s in symbols.items():
-            whole = len(s) // chunk
-            f = self._functions(s[: whole * chunk].reshape(whole, chunk).T)
-            reached = self._scan(f)[:, 0]
-            long[k] = np.r_[0, reached]
+        result = [np.zeros(len(s), np.uint8) for s in symbols]
         limit = max(1, (1 << 21) // chunk)
-        group: list[tuple[int, int, int]] = []
-
-        def emit() -> None:
-            height = max(b - a for _, a, b in group)
-            grid = np.full((height, len(group)), SKIP, np.uint8)
-            short = [g for g in group if g[0] not in symbols]
-            if short:
-                at = [x for x, g in enumerate(group) if g[0] not in symbols]
-                part = self._classify(points, short, chunk)
-                grid[: part.shape[0], at] = part
-            for x, (k, a, b) in enumerate(group):
-                if k in symbols:
-                    grid[: b - a, x] = symbols[k][a:b]
-            state = np.array([long[k][a // chunk] if k in long else 0 for k, a, _ in group], dtype=np.int64)
-            _, bits = self._run(self.after, N_SYMBOLS, grid, state, self.out)
-            rows, cols = np.nonzero(bits.T)
-            edges = np.searchsorted(rows, np.arange(len(group) + 1))
-            for x, (k, a, _) in enumerate(group):
-                if edges[x + 1] > edges[x]:
-                    found[k].append(cols[edges[x] : edges[x + 1]] + a)
-
-        for piece in pieces:
-            group.append(piece)
-            if len(group) >= limit or (len(group) > 64 and piece[2] - piece[1] > 2 * (group[0][2] - group[0][1]) + 64):
-                emit()
-                group = []
-        if group:
-            emit()
-        return [np.sort(np.concatenate(f)) if f else np.empty(0, np.int64) for f in found]
-
-    def _classify(self, points: list[np.ndarray], pieces: list[tuple[int, int, int]], chunk: int) -> np.ndarray:
-        """Sentence symbols (steps x pieces), with the full stops classified.
-
-        A piece is run from `WARM_UP` characters before each of its chunks: no rule is
-        longer, so the word transducer is in its true state when the chunk begins.
-        """
-        if len(pieces) == 1 and pieces[0][2] - pieces[0][1] > chunk:
-            k, a, b = pieces[0]
-            parts = [(0, x, min(x + chunk, b)) for x in range(a, b, chunk)]
-            columns = self._classify([points[k]], parts, chunk)
-            return np.concatenate([columns[: y - x, n] for n, (_, x, y) in enumerate(parts)])[:, None]
-        height = max(b - a for _, a, b in pieces)
-        warm = [min(a, WARM_UP) for _, a, _ in pieces]
-        lead = max(warm)
-        sent = np.full((height + lead, len(pieces)), SKIP, np.uint8)
-        word = np.full((height + lead, len(pieces)), self.words.skip, np.int32)
-        for n, (k, a, b) in enumerate(pieces):
-            s, w = self._symbols(points[k][a - warm[n] : b])
-            top = lead - warm[n]
-            sent[top : top + len(s), n], word[top : top + len(w), n] = s, w
-        state = np.array([self.words.dead if a > WARM_UP else 0 for _, a, _ in pieces], dtype=np.int64)
-        _, kinds = self._run(self.words.after, self.words.symbols, word, state, self.words.out)
-        return np.where(kinds > 0, kinds, sent)[lead:]
+        at = 0
+        while at < len(pieces):
+            shortest = pieces[at][2] - pieces[at][1]
+            stop = at + 1
+            while stop < len(pieces) and stop - at < limit and (stop - at <= 64 or pieces[stop][2] - pieces[stop][1] <= 2 * shortest + 64):
+                stop += 1
+            group = pieces[at:stop]
+            grid = np.full((max(b - a for _, a, b, _ in group), len(group)), skip, symbols[0].dtype)
+            for x, (k, a, b, _) in enumerate(group):
+                grid[: b - a, x] = symbols[k][a:b]
+            _, bits = self._run(after, width, grid, np.array([g[3] for g in group], np.int64), out)
+            columns = np.ascontiguousarray(bits.T)
+            for x, (k, a, b, _) in enumerate(group):
+                result[k][a:b] = columns[x, : b - a]
+            at = stop
+        return result
+
+    def starts(self, texts: list[str], chunk: int = CHUNK) -> list[np.ndarray]:
+        """For each text the code points where its sentences start."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        edges = np.r_[0, np.cumsum(sizes)]
+        if not edges[-1]:
+            return [np.empty(0, np.int64) for _ in texts]
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sent, word = self._symbols(points)
+        cut = lambda flat: [flat[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        words = self.words
+        kinds = self._transduce(words.after, words.out, words.symbols, words.states, cut(word), words.skip, chunk)
+        kind = np.concatenate(kinds)
+        sent = _pair_up(np.where(kind > 0, kind, sent), edges[:-1][sizes > 0])
+        bits = self._transduce(self.after, self.out, N_SYMBOLS, self.states, cut(sent), SKIP, chunk)
+        return [np.flatnonzero(b) for b in bits]
 
     def spans(self, texts: list[str], chunk: int = CHUNK) -> list[list[tuple[int, int]]]:
         """(start, end) of the sentences of each text, without outer white space."""
