@@ -1,6 +1,6 @@
 import random
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from hypothesis import given, settings
@@ -27,6 +27,7 @@ def test_stable_and_aligned(text):
 @pytest.mark.parametrize(
     ("a", "b"),
     [
+        ("ꮃord", "word"), ("fⲟo", "foo"), ("ꓡisu", "Lisu"), ("ɪs", "is"), ("ʏes", "yes"), ("Ꮪtep", "Step"),
         ("the list", "the ｌｉｓｔ"), ("v3.9.6", "v3.９.6"), ("café", "café"), ("frozen", "froze​n"), ("a b", "a b"), ("scope", "ѕсоре"), ("étranges", "étrɑngеs"),
         ("fine", "ﬁne"), ("Hello", "𝓗𝓮𝓵𝓵𝓸"), ("バイト", "ﾊﾞｲﾄ"), ("матрица весов", "мaтpицa вecoв"), ("mode", "mοdе"), ("ёж", "ёж"), ("mic", "mⅰⅽ"), ("ąx", "ąx"),
     ],
@@ -46,6 +47,39 @@ def test_russian_text_stays_russian():
     assert U.unify("👩‍🔬")[0] == "👩‍🔬"
 
 
+@pytest.mark.parametrize("text", ["ᏣᎳᎩ ᎦᏬᏂᎯᏍᏗ", "ⲟⲩⲟϩ ⲥⲟⲡ", "Հայաստան սոսի", "ꓡꓲ ꓢꓴ ꓶꓷ"])
+def test_texts_of_other_alphabets_stay(text):
+    assert U.unify(text)[0] == unicodedata.normalize("NFC", text)
+
+
+def _lcs(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for k, y in enumerate(b):
+            table[i + 1][k + 1] = table[i][k] + 1 if x == y else max(table[i][k + 1], table[i + 1][k])
+    return table[-1][-1]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abc ", max_size=30), st.text("abc ", max_size=30), st.sampled_from([40, 1 << 26]))
+def test_common_subsequence_is_a_longest_one(a, b, bits):
+    kept, U._TABLE_BITS = U._TABLE_BITS, bits
+    try:
+        pairs = U.common_subsequence(a, b)
+    finally:
+        U._TABLE_BITS = kept
+    assert all(a[i] == b[k] for i, k in pairs) and len(pairs) == _lcs(a, b)
+    assert all(i < x and k < y for (i, k), (x, y) in zip(pairs, pairs[1:], strict=False))
+
+
+@pytest.mark.parametrize("gap", [1, 63, 100, 5000])
+def test_realign_has_no_window(gap):
+    for filler in "- ":
+        assert U.realign("az", f"a{filler * gap}z") == [0, gap + 1]
+    assert U.realign("héllo wor", f"He{'-' * gap}\u0301ｌＬo{' ' * gap}Wor")[-3:] == [2 * gap + 6, 2 * gap + 7, 2 * gap + 8]
+    assert U.realign("ab?cd", f"ab{'x' * gap}cd") == [0, 1, 2, gap + 2, gap + 3]
+
+
 STRINGS = "id bigint, text string, alignment array<int>, original string, form string, t1 int, salt int"
 
 
@@ -71,7 +105,12 @@ def test_pairs_equal_brute_force(spark):
         groups[U.unify(t)[0]].append((i, t))
     want = sorted((min(i, j), max(i, j)) for g in groups.values() for k, (i, s) in enumerate(g) for j, t in g[k + 1 :] if s != t)
     assert got == want
-    assert U.same_to_the_eye(spark.createDataFrame([], STRINGS)).count() == 0
+    rows = U.eye_classes(spark.createDataFrame(rows, STRINGS), salts=3).collect()
+    assert len(rows) == len(texts)
+    assert got == sorted((min(x["id"], y["id"]), max(x["id"], y["id"])) for k, x in enumerate(rows) for y in rows[k + 1 :] if x["class_id"] == y["class_id"] and x["text_id"] != y["text_id"])
+    links = Counter(i for pair in got for i in pair)
+    assert all(r["n_links"] == links[r["id"]] for r in rows)
+    assert U.same_to_the_eye(spark.createDataFrame([], STRINGS)).count() == 0 == U.eye_classes(spark.createDataFrame([], STRINGS)).count()
 
 
 def test_very_long_text():

@@ -39,6 +39,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("a").alias("string_id_a"), F.col("b").alias("string_id_b"))
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per string: the class of strings that read the same, its text's class, and its number of pairs."""
+    return unify.eye_classes(_strings(spark, sf_dir), keep=materialise).withColumnRenamed("id", "string_id")
+
+
 def p3_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row's text in the consistent form, with its alignment to the original."""
     rows = table(spark, sf_dir, "mapped_string").select(F.col("string_id").alias("id"), "text", "alignment", "original")
@@ -126,7 +131,7 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_terms": p1_terms, "p3_found": p3_found, "p3_unified": p3_unified, "p4_found": p4_found,
+    "p1_found": p1_found, "p1_terms": p1_terms, "p3_found": p3_found, "p3_classes": p3_classes, "p3_unified": p3_unified, "p4_found": p4_found,
     "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_sentences": p5_sentences, "p6_ids": p6_ids,
     "p6_roundtrip": p6_roundtrip, "p7_copies": p7_copies, "p7_report": p7_report, "p8_found": p8_found,
     "p8_redacted": p8_redacted,

@@ -11,43 +11,37 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter, deque
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Letters drawn alike, each line a Latin letter and its doubles.
-DRAWN_ALIKE = {
-    "a": "аαɑ", "c": "с", "d": "ԁ", "e": "е", "g": "ɡց", "h": "һհ", "i": "іι", "j": "јյϳ", "l": "ӏ",
-    "n": "ո", "o": "оοօ", "p": "рρ", "q": "ԛզ", "s": "ѕ", "u": "սυ", "v": "ѵν", "w": "ԝ", "x": "х", "y": "уү",
-    "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СᏟ", "E": "ЕΕᎬ", "G": "Ԍ", "H": "НΗᎻ", "I": "ІΙӀ", "J": "ЈͿᎫ", "K": "КΚᏦ",
-    "L": "Ꮮ", "M": "МΜᎷ", "N": "Ν", "O": "ОΟՕ", "P": "РΡᏢ", "Q": "Ԛ", "S": "ЅՏᏚ", "T": "ТΤᎢ", "V": "ѴᏙ",
-    "W": "ԜᎳ", "X": "ХΧ", "Y": "УΥҮ", "Z": "ΖᏃ",
-}
+from threadloom.llm.lookalikes import ALPHABETS, DRAWN_ALIKE, alphabet, latin_of
+
 #: Letters that both the Latin and the Russian alphabet use; they tell nothing.
 NEUTRAL = frozenset("aceopxyABCEHKMOPTXY")
 #: Kinds of compatibility form that leave a letter or digit readable as itself.
 _KINDS = ("<wide>", "<narrow>", "<font>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>")
 
-_LATIN = {double: latin for latin, doubles in DRAWN_ALIKE.items() for double in doubles}
-
-
-def _alphabet(c: str) -> str:
-    return unicodedata.name(c, "").split(" ")[0]
+_LATIN = latin_of()
+#: Alphabets of the fixed list; their words weigh against Latin ones letter by letter.
+_NEAR = ("CYRILLIC", "GREEK")
 
 
-def _doubles_in(alphabet: str) -> dict[str, str]:
+def _doubles_in(name: str) -> dict[str, str]:
     """Latin letter to its double in an alphabet; the first listed counts."""
     out: dict[str, str] = {}
     for double, latin in _LATIN.items():
-        if _alphabet(double) == alphabet:
+        if alphabet(double) == name:
             out.setdefault(latin, double)
     return out
 
 
-_IN = {name: _doubles_in(name) for name in ("CYRILLIC", "GREEK")}
+_IN = {name: _doubles_in(name) for name in sorted(ALPHABETS - {"LATIN"})}
 _FILLERS = frozenset("\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u3164\uffa0") | {chr(c) for c in range(0xFE00, 0xFE10)}
 
 
@@ -91,10 +85,12 @@ def _unstable() -> frozenset[str]:
     return frozenset(c for a, b in blocks for c in map(chr, range(a, b)) if _is_unstable(c))
 
 
-@lru_cache(maxsize=1 << 12)
-def _stretches(chars: frozenset[str]) -> re.Pattern:
-    """Runs of these characters with the one character before them."""
-    body = "".join(map(re.escape, sorted(chars)))
+@lru_cache(maxsize=1)
+def _stretches() -> re.Pattern:
+    """Runs of unstable characters with the one character before them."""
+    codes = np.array(sorted(map(ord, _unstable())))
+    edges = np.flatnonzero(np.r_[True, np.diff(codes) > 1, True])
+    body = "".join(f"{chr(codes[a])}-{chr(codes[b - 1])}" for a, b in zip(edges[:-1], edges[1:], strict=True))
     return re.compile(f"(?s)[^{body}]?[{body}]+")
 
 
@@ -129,36 +125,50 @@ def _segment(text: str, start: int, end: int) -> tuple[str, list[int]]:
     return out, places
 
 
-#: A unit: letters of the alphabets that share shapes, marks, digits, and what joins them in names.
-_UNIT = re.compile(r"[0-9A-Za-z\u00aa\u00b5\u00ba\u00c0-\u02af\u0300-\u036f\u0370-\u058f\u13a0-\u13ff\u1c80-\u1c8f\u1e00-\u1fff\u2c60-\u2c7f\ua640-\ua7ff\uab30-\uabbf._'’-]+")
-_OTHER_ALPHABETS = frozenset("ɑɡ") | {chr(c) for a, b in ((0x370, 0x590), (0x13A0, 0x1400), (0x1C80, 0x1C90), (0x1F00, 0x2000), (0xA640, 0xA6A0), (0xAB70, 0xABC0)) for c in range(a, b)}
+#: Blocks of the alphabets that share shapes.
+_SHARED = ((0x370, 0x590), (0x13A0, 0x1400), (0x1C80, 0x1C90), (0x1F00, 0x2000), (0x2C80, 0x2D00), (0xA4D0, 0xA500), (0xA640, 0xA6A0), (0xAB70, 0xABC0), (0x10400, 0x10450))
+_OTHER_ALPHABETS = frozenset(_LATIN) | {chr(c) for a, b in _SHARED for c in range(a, b)}
+#: A unit: letters of these alphabets, marks, digits, and what joins them in names.
+_UNIT = re.compile(
+    "[0-9A-Za-z\u00aa\u00b5\u00ba\u00c0-\u02af\u0300-\u036f\u1d00-\u1dbf\u1e00-\u1fff\u2c60-\u2c7f\ua720-\ua7ff\uab30-\uab6f._'’"
+    + "".join(f"{chr(a)}-{chr(b - 1)}" for a, b in _SHARED) + "-]+"
+)
 
 
 @lru_cache(maxsize=1 << 14)
-def _letter(c: str) -> tuple[str, int]:
-    """Latin look of a character, and what it is evidence for.
+def _letter(c: str) -> tuple[str, str]:
+    """Latin look of a character, and the alphabet it is evidence for.
 
-    1 Latin, 2 weakly Latin, 3 Cyrillic, 4 Greek, 0 nothing. A character and its doubles
-    give the same evidence.
+    Letters of the fixed list are weak evidence, "latin", or none. A character and its
+    doubles give the same evidence.
     """
     base = unicodedata.normalize("NFD", c)
     latin = _LATIN.get(base[0], base[0])
     look = unicodedata.normalize("NFC", latin + base[1:])
     if latin in DRAWN_ALIKE:
-        return look, 0 if latin in NEUTRAL else 2
+        return look, "" if latin in NEUTRAL else "latin"
+    if latin != base[0]:
+        return look, "LATIN"
     if not base[0].isalpha():
-        return c, 0
-    return c, {"LATIN": 1, "CYRILLIC": 3, "GREEK": 4}.get(_alphabet(base[0]), 0)
+        return c, ""
+    name = alphabet(base[0])
+    return c, name if name in ALPHABETS else ""
 
 
 @lru_cache(maxsize=1 << 14)
-def _as(look: str, alphabet: str) -> str:
+def _as(look: str, name: str) -> str:
     base = unicodedata.normalize("NFD", look)
-    double = _IN[alphabet].get(base[0])
+    double = _IN[name].get(base[0])
     out = unicodedata.normalize("NFC", double + base[1:]) if double else look
     return out if len(out) == 1 else look
 
 
+def _foreign(looks: str, name: str) -> int:
+    """Letters of a unit that the alphabet ``name`` has neither itself nor a double of."""
+    own = _IN[name]
+    return sum(x.isalpha() and alphabet(b := unicodedata.normalize("NFD", x)[0]) != name and b not in own for x in looks)
+
+
 @lru_cache(maxsize=1 << 16)
 def _settle(unit: str) -> tuple[str, str]:
     """A unit in the alphabet its own letters give evidence for, and the alphabet.
@@ -166,34 +176,34 @@ def _settle(unit: str) -> tuple[str, str]:
     Without evidence the alphabet is empty and the unit is given by its Latin look.
     """
     letters = [_letter(c) for c in unit]
-    count = [0] * 5
-    for _, e in letters:
-        count[e] += 1
+    count = Counter(e for _, e in letters)
     looks = "".join(look for look, _ in letters)
-    best = max((3, 4), key=lambda e: count[e])
-    if count[best] > count[1]:
-        name = "CYRILLIC" if best == 3 else "GREEK"
+    name = _leading(count)
+    if name and (count[name] > count["LATIN"] if name in _NEAR else count[name] > _foreign(looks, name)):
         return "".join(_as(x, name) for x in looks), name
-    return looks, "LATIN" if count[1] or count[2] else ""
+    return looks, "LATIN" if count["LATIN"] or count["latin"] else ""
+
+
+def _leading(count: Counter) -> str:
+    """The alphabet besides the Latin one with the most evidence; of ties the first by name."""
+    return max(sorted(e for e in count if e in _IN), key=count.__getitem__, default="")
 
 
 def _main_alphabet(text: str) -> str:
     """The alphabet most letters of a text are evidence for."""
-    votes = [0] * 5
-    for c in text:
-        votes[_letter(c)[1]] += 1
-    return "CYRILLIC" if votes[3] > votes[1] and votes[3] >= votes[4] else "GREEK" if votes[4] > votes[1] else "LATIN"
+    votes = Counter(_letter(c)[1] for c in text)
+    name = _leading(votes)
+    return name if name and votes[name] > votes["LATIN"] else "LATIN"
 
 
 def _normalise_stretches(text: str) -> tuple[str, list[int] | None]:
     """Rewrite the unstable stretches of a text and splice them into the rest."""
-    unstable = set(text) & _unstable()
-    if not unstable:
+    if _unstable().isdisjoint(text):
         return text, None
     out: list[str] = []
     places: list[int] = []
     at = 0
-    for m in _stretches(frozenset(unstable)).finditer(text):
+    for m in _stretches().finditer(text):
         out.append(text[at : m.start()])
         places += range(at, m.start())
         part, where = _segment(text, m.start(), m.end())
@@ -213,7 +223,9 @@ def unify(text: str) -> tuple[str, list[int] | None]:
     if _OTHER_ALPHABETS.isdisjoint(text):
         return text, places
     units = [(m.start(), m.end(), *_settle(m[0])) for m in _UNIT.finditer(text)]
-    main = "LATIN" if all(name for *_, name in units) else _main_alphabet(text)
+    main = _main_alphabet(text)
+    if main not in ("LATIN", *_NEAR):  # words of doubles only look Latin in a text of that alphabet
+        units = [(a, b, u, "" if name == "LATIN" and not _foreign(u, main) else name) for a, b, u, name in units]
     out, at = [], 0
     for start, end, settled, name in units:
         out.append(text[at:start])
@@ -227,27 +239,113 @@ def unify(text: str) -> tuple[str, list[int] | None]:
     return text, places
 
 
+def _looks(text: str) -> tuple[str, list[int]]:
+    """The characters of a text as they are compared, decomposed, with the place of each."""
+    out, places = [], []
+    for k, c in enumerate(text):
+        for x in _look(c):
+            out.append(x)
+            places.append(k)
+    return "".join(out), places
+
+
+@lru_cache(maxsize=1 << 14)
+def _look(c: str) -> str:
+    return unicodedata.normalize("NFD", unify(c)[0].lower())
+
+
+def _masks(text: str) -> dict[str, int]:
+    masks: dict[str, list[int]] = {}
+    for k, c in enumerate(text):
+        masks.setdefault(c, []).append(k)
+    out = {}
+    for c, at in masks.items():
+        bits = np.zeros(len(text), np.uint8)
+        bits[at] = 1
+        out[c] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    return out
+
+
+def _rows(a: str, b: str) -> Iterator[int]:
+    """Bit k of row i is 0 if the longest common subsequence of a[: i + 1] grows at b[k]."""
+    masks, full = _masks(b), (1 << len(b)) - 1
+    row = full
+    for c in a:
+        hit = row & masks.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+        yield row
+
+
+def _lengths(a: str, b: str) -> np.ndarray:
+    """Length of the longest common subsequence of ``a`` with each b[:k]."""
+    row = deque(_rows(a, b), maxlen=1).pop() if a else (1 << len(b)) - 1
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.r_[0, np.cumsum(bits == 0)]
+
+
+#: Bits of the table kept at once; longer texts are halved first, which gives a subsequence as long.
+_TABLE_BITS = 1 << 26
+
+
+def common_subsequence(a: str, b: str) -> list[tuple[int, int]]:
+    """Places (in a, in b) of a longest common subsequence, in order.
+
+    By bit-parallel rows: len(a) * len(b) / 64 steps on words. Texts of any length are
+    compared whole; memory stays bounded, as large tables are halved.
+    """
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
+            out.append((a0, b0))
+            a0, b0 = a0 + 1, b0 + 1
+        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
+            a1, b1 = a1 - 1, b1 - 1
+            out.append((a1, b1))
+        if a0 == a1 or b0 == b1:
+            continue
+        n, m = a1 - a0, b1 - b0
+        if n > 1 and n * m > _TABLE_BITS:
+            mid = a0 + n // 2
+            total = _lengths(a[a0:mid], b[b0:b1]) + _lengths(a[mid:a1][::-1], b[b0:b1][::-1])[::-1]
+            cut = b0 + int(total.argmax())
+            todo += [(a0, mid, b0, cut), (mid, a1, cut, b1)]
+            continue
+        rows = list(_rows(a[a0:a1], b[b0:b1]))
+        i, k = n - 1, m - 1
+        while i >= 0 and k >= 0:
+            if rows[i] >> k & 1:
+                k -= 1
+            elif i and not rows[i - 1] >> k & 1:
+                i -= 1
+            else:
+                out.append((a0 + i, b0 + k))
+                i, k = i - 1, k - 1
+    return sorted(out)
+
+
 def realign(text: str, original: str | None) -> list[int]:
     """Places in ``original`` for a text whose alignment is missing or has the wrong length.
 
-    Each character goes to the next equal one, else, in the look of its consistent form, to
-    the next that looks the same within 64 characters, else to the place after the last
-    one. Without an original the places count in the text itself.
+    A text that stands in the original as it is has its first place there. Else the two are
+    compared in the look of their characters (consistent form, small letters, decomposed)
+    by a longest common subsequence; a character without a partner gets the place after the
+    last one, at most the last place. Without an original the places count in the text itself.
     """
     if not original:
         return list(range(len(text)))
     if (at := original.find(text)) >= 0:
         return list(range(at, at + len(text)))
+    (mine, owner), (theirs, place) = _looks(text), _looks(original)
+    found: dict[int, int] = {}
+    for i, k in common_subsequence(mine, theirs):
+        found.setdefault(owner[i], place[k])
     out, at = [], 0
-    for c in text:
-        k = original.find(c, at, at + 64)
-        if k < 0:
-            look = unify(c)[0].lower()
-            k = next((x for x in range(at, min(at + 64, len(original))) if unify(original[x])[0].lower() == look), -1)
-        if k < 0:
-            k = min(at, len(original) - 1)
-        out.append(k)
-        at = min(k + 1, len(original))
+    for k in range(len(text)):
+        at = found.get(k, min(at, len(original) - 1))
+        out.append(at)
+        at += 1
     return out
 
 
@@ -292,25 +390,48 @@ def _salted(big: DataFrame, small: DataFrame, on: list[str], spread_by: str, sal
     return left.join(right, [*on, "salt"]).drop("salt")
 
 
+def _hashed(strings: DataFrame) -> DataFrame:
+    """(id, t1, t2, f1, f2): two 64-bit hashes each of the text and of its form."""
+    forms = strings.select("id", "text").mapInArrow(_forms, "id bigint, text string, form string")
+    hashes = {f"{n}{k}": F.xxhash64(F.col(c), F.lit(k)) for n, c in (("t", "text"), ("f", "form")) for k in (1, 2)}
+    return forms.select("id", *[h.alias(n) for n, h in hashes.items()])
+
+
+def eye_classes(strings: DataFrame, salts: int = 16, keep=lambda df: df) -> DataFrame:
+    """(id, class_id, text_id, n_links) of every row (id, text): membership instead of pairs.
+
+    Rows of one ``class_id`` read the same, rows of one ``text_id`` are equal; both are the
+    smallest id of their class. ``n_links`` counts the rows that read the same but differ.
+    Two rows are a pair of `same_to_the_eye` exactly if their class_id is equal and their
+    text_id is not. The size of this table does not grow with the size of a class; sums are
+    combined before each shuffle, and the joins back to the rows are salted by id.
+    """
+    rows = keep(_hashed(strings))
+    texts = rows.groupBy("f1", "f2", "t1", "t2").agg(F.min("id").alias("text_id"), F.count(F.lit(1)).alias("n_text"))
+    texts = keep(texts)
+    forms = texts.groupBy("f1", "f2").agg(F.min("text_id").alias("class_id"), F.sum("n_text").alias("n_form"))
+    both = _salted(texts, forms, ["f1", "f2"], "t1", salts).select("f1", "f2", "t1", "t2", "text_id", "class_id", (F.col("n_form") - F.col("n_text")).alias("n_links"))
+    return _salted(rows, both, ["f1", "f2", "t1", "t2"], "id", salts).select("id", "class_id", "text_id", "n_links")
+
+
 def same_to_the_eye(strings: DataFrame, salts: int = 16, keep=lambda df: df) -> DataFrame:
     """(a, b) ids, a < b, of rows (id, text) with different texts and the same form.
 
     Texts are compared by two 64-bit hashes. Only forms with at least two different texts
     go on; their texts are paired as classes, and classes are expanded to ids last. So a
     text with very many copies and no look-alike costs nothing, and copies of the same text
-    are never paired. The expansions are salted by id, so a class with a large share of all
-    rows is spread over ``salts`` tasks. ``keep`` is applied to the hashes, which are used
-    several times (e.g. to write them to a shared folder). NULL texts must be gone.
+    are never paired. The pairing of classes and the expansions are salted, so a form with
+    very many texts and a class with a large share of all rows are spread over ``salts``
+    tasks. ``keep`` is applied to the hashes, which are used several times (e.g. to write
+    them to a shared folder). NULL texts must be gone.
     """
-    forms = strings.select("id", "text").mapInArrow(_forms, "id bigint, text string, form string")
-    hashes = {f"{n}{k}": F.xxhash64(F.col(c), F.lit(k)) for n, c in (("t", "text"), ("f", "form")) for k in (1, 2)}
-    rows = keep(forms.select("id", *[h.alias(n) for n, h in hashes.items()]))
+    rows = keep(_hashed(strings))
     spans = [f(c).alias(f"{f.__name__}_{c}") for c in ("t1", "t2") for f in (F.min, F.max)]
     several = rows.groupBy("f1", "f2").agg(*spans).where("min_t1 <> max_t1 OR min_t2 <> max_t2").select("f1", "f2")
     members = keep(_salted(rows, several, ["f1", "f2"], "id", salts))
     classes = members.select("f1", "f2", "t1", "t2").distinct()
     others = classes.select("f1", "f2", F.col("t1").alias("u1"), F.col("t2").alias("u2"))
-    pairs = classes.join(others, ["f1", "f2"]).where("t1 < u1 OR (t1 = u1 AND t2 < u2)").drop("f1", "f2")
+    pairs = _salted(classes, others, ["f1", "f2"], "t1", salts).where("t1 < u1 OR (t1 = u1 AND t2 < u2)").drop("f1", "f2")
     first = _salted(members.select("t1", "t2", F.col("id").alias("x")), pairs, ["t1", "t2"], "x", salts)
     second = members.select(F.col("t1").alias("u1"), F.col("t2").alias("u2"), F.col("id").alias("y"))
     both = _salted(first.select("u1", "u2", "x"), second, ["u1", "u2"], "x", salts)
