@@ -4,6 +4,8 @@ import random
 from collections import defaultdict
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from threadloom.llm import pairs
 
@@ -36,8 +38,9 @@ def brute(rows):
 
 def run(spark, rows):
     df = frame(spark, rows)
-    n = pairs.count_sentences(df)
-    out = pairs.associations(pairs.pair_counts(pairs.pair_records(df)), pairs.token_sentences(df), n)
+    tokens = pairs.token_sentences(df)
+    n = pairs.count_sentences(tokens)
+    out = pairs.associations(pairs.pair_counts(pairs.pair_records(df)), tokens, n)
     return n, out.collect()
 
 
@@ -64,3 +67,20 @@ def test_one_direction_self_pairs_and_repeats(spark):
 def test_empty(spark):
     assert run(spark, []) == (0, [])
     assert run(spark, [(1, None, 2, 1.0, 0), (1, -1, 2, 1.0, 0)]) == (0, [])
+
+
+def test_counts_beyond_32_bits(spark):
+    big = 5_000_000_000
+    pair = spark.createDataFrame([(1, 2, big, 1.0)], "token_a int, token_b int, n_ab bigint, total_value double")
+    tokens = spark.createDataFrame([(1, 2 * big), (2, 3 * big), (pairs.EVERY, 40 * big)], "token int, n bigint")
+    n = pairs.count_sentences(tokens)
+    r = pairs.associations(pair, tokens, n).first()
+    assert n == 40 * big and r["lift"] == pytest.approx(40 / 6) and r["log_odds"] == pytest.approx(math.log(36 / 2), rel=1e-6)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.integers(1, 500), st.integers(0, 500), st.integers(0, 500), st.integers(0, 10**6))
+def test_lift_of_four_means_corrected_odds_of_four(a, b, c, rest):
+    n = a + b + c + rest
+    if n * a >= 4 * (a + b) * (a + c):
+        assert (a + 0.5) * (rest + 0.5) >= 4 * (b + 0.5) * (c + 0.5)

@@ -72,20 +72,30 @@ def pair_counts(pairs: DataFrame) -> DataFrame:
     )
 
 
+#: Token of the row of `token_sentences` that counts all sentences.
+EVERY = -1
+
+
 def token_sentences(records: DataFrame) -> DataFrame:
-    """(token, n) sentences that hold the token as i or j, over the valid records."""
+    """(token, n) sentences that hold the token as i or j, over the valid records.
+
+    The row with the token `EVERY` counts all sentences, so one pass gives both. An empty
+    table has no rows.
+    """
+    held = F.array("i", "j", F.lit(EVERY))
     return (
         records.where((F.col("i") >= 0) & (F.col("j") >= 0))
-        .select("sentence_id", F.explode(F.array("i", "j")).alias("token"))
+        .select("sentence_id", F.explode(held).alias("token"))
         .distinct()
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
-def count_sentences(records: DataFrame) -> int:
-    valid = records.where((F.col("i") >= 0) & (F.col("j") >= 0))
-    return valid.select("sentence_id").distinct().count()
+def count_sentences(tokens: DataFrame) -> int:
+    """Number of all sentences, from the table of `token_sentences`."""
+    row = tokens.where(F.col("token") == EVERY).first()
+    return row["n"] if row else 0
 
 
 def associations(pairs: DataFrame, tokens: DataFrame, n: int) -> DataFrame:
@@ -94,16 +104,17 @@ def associations(pairs: DataFrame, tokens: DataFrame, n: int) -> DataFrame:
     lift is n * n_ab / (n_a * n_b). log_odds is the logarithm of the odds ratio of the
     2 x 2 table of sentences, with the continuity correction of 0.5 in each cell, so it is
     finite when a cell is empty. Tokens of one sentence that are too far apart for a record
-    do not meet, so n - n_a - n_b + n_ab may fall below 0; the last cell is 0 then. The token counts are joined without a hint: the size of
-    the vocabulary decides on the strategy at run time.
+    do not meet, so n - n_a - n_b + n_ab may fall below 0; the last cell is 0 then. Products
+    are formed as doubles, so no count is too large for them. The token counts are joined
+    without a hint: the size of the vocabulary decides on the strategy at run time.
     """
     a = tokens.select(F.col("token").alias("token_a"), F.col("n").alias("n_a"))
     b = tokens.select(F.col("token").alias("token_b"), F.col("n").alias("n_b"))
     both = pairs.join(a, "token_a").join(b, "token_b")
-    n11, total = F.col("n_ab"), F.lit(int(n))
-    n10, n01 = F.col("n_a") - n11, F.col("n_b") - n11
-    n00 = F.greatest(total - F.col("n_a") - F.col("n_b") + n11, F.lit(0))
-    lift = total * n11 / (F.col("n_a") * F.col("n_b"))
+    n11, n_a, n_b, total = *(F.col(c).cast("double") for c in ("n_ab", "n_a", "n_b")), F.lit(float(n))
+    n10, n01 = n_a - n11, n_b - n11
+    n00 = F.greatest(total - n_a - n_b + n11, F.lit(0.0))
+    lift = total * n11 / (n_a * n_b)
     odds = (n11 + 0.5) * (n00 + 0.5) / ((n10 + 0.5) * (n01 + 0.5))
     return both.select(
         "token_a", "token_b", "n_ab", "n_a", "n_b", "total_value", lift.alias("lift"), F.log2(lift).alias("pmi"), F.log(odds).alias("log_odds")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,25 +52,30 @@ def p3_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unify.unify_strings(spread(rows, "id")).withColumnRenamed("id", "string_id")
 
 
-def _associations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _associations(spark: SparkSession, sf_dir: str, keep=lambda counted, n: counted) -> tuple[DataFrame, int]:
     records = table(spark, sf_dir, "cooccurrence")
-    counted = pairs.pair_counts(pairs.pair_records(records))
-    return pairs.associations(counted, pairs.token_sentences(records), pairs.count_sentences(records))
+    tokens = materialise(pairs.token_sentences(records))
+    n = pairs.count_sentences(tokens)
+    counted = keep(pairs.pair_counts(pairs.pair_records(records)), n)
+    return pairs.associations(counted, tokens, n), n
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs that meet in at least 4 sentences, in 0.1 % of all, and 4 times chance."""
-    records = table(spark, sf_dir, "cooccurrence")
-    n = pairs.count_sentences(records)
-    often = pairs.pair_counts(pairs.pair_records(records)).where((F.col("n_ab") >= PAIR_LEAST) & (F.col("n_ab") >= PAIR_SHARE * F.lit(n)))
-    scored = pairs.associations(often, pairs.token_sentences(records), n)
-    return scored.where(F.lit(n) * F.col("n_ab") >= PAIR_LIFT * F.col("n_a") * F.col("n_b")).select("token_a", "token_b")
+    """Pairs that meet in at least 4 sentences, in 0.1 % of all, and 4 times chance.
+
+    The corrected odds ratio chooses them: where n_ab >= 1 and the lift is at least 4, the
+    cell of neither is at least 3 (n_ab + n10 + n01) + 4 n10 n01 / n_ab, so the corrected
+    ratio is at least 4 as well. The exact check of the lift follows.
+    """
+    scored, n = _associations(spark, sf_dir, lambda counted, n: counted.where((F.col("n_ab") >= PAIR_LEAST) & (F.col("n_ab") >= PAIR_SHARE * F.lit(n))))
+    chosen = scored.where(F.col("log_odds") >= math.log(PAIR_LIFT) - 1e-9)
+    return chosen.where(F.lit(float(n)) * F.col("n_ab") >= F.lit(float(PAIR_LIFT)) * F.col("n_a") * F.col("n_b")).select("token_a", "token_b")
 
 
 def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair with its sentences, summed value, lift, PMI and corrected log odds ratio."""
     rounded = {c: F.round(c, 6) for c in ("lift", "pmi", "log_odds")} | {"total_value": F.round("total_value", 4)}
-    return _associations(spark, sf_dir).withColumns(rounded)
+    return _associations(spark, sf_dir)[0].withColumns(rounded)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +90,14 @@ def p5_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(spread(docs, "id")).withColumnRenamed("id", "doc_id")
 
 
+def p5_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per string its sentences put together again, without white space and control signs."""
+    found = sentences.split_sentences(_strings(spark, sf_dir)).groupBy("id")
+    whole = found.agg(F.array_sort(F.collect_list(F.struct("start_pos", "sentence"))).alias("s"), F.count(F.lit(1)).alias("n_sentences"))
+    text = F.regexp_replace(F.array_join(F.transform("s", lambda s: s["sentence"]), ""), r"[\p{Z}\p{C}]", "")
+    return whole.select(F.col("id").alias("string_id"), text.alias("text"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return encode.encode_corpus(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
@@ -114,6 +129,24 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mixture_report(*_mixture(spark, sf_dir))
 
 
+def p7_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source with documents: whether the mixture keeps the repeat cap and reaches its share.
+
+    A share is reached if the tokens miss its part of the planned mixture by less than the
+    largest document of the source.
+    """
+    copies, plan = _mixture(spark, sf_dir)
+    per = copies.withColumn("used", F.col("copies") * F.col("n_tokens"))
+    per = per.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.max("copies").alias("most"), F.min("copies").alias("least"), F.sum("used").alias("used"), F.max("n_tokens").alias("largest")
+    )
+    both = per.join(plan.select("source", "max_repeats", "aim_tokens"), "source")
+    miss = F.abs(F.col("used") - F.col("aim_tokens"))
+    return both.select(
+        "source", "n_docs", "max_repeats", ((F.col("most") <= F.col("max_repeats")) & (F.col("least") >= 0)).alias("caps_kept"), (miss < F.col("largest") + 1e-6 * F.col("aim_tokens")).alias("share_reached")
+    )
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
 
@@ -132,8 +165,8 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_terms": p1_terms, "p3_found": p3_found, "p3_classes": p3_classes, "p3_unified": p3_unified, "p4_found": p4_found,
-    "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_sentences": p5_sentences, "p6_ids": p6_ids,
-    "p6_roundtrip": p6_roundtrip, "p7_copies": p7_copies, "p7_report": p7_report, "p8_found": p8_found,
+    "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_sentences": p5_sentences, "p5_kept": p5_kept, "p6_ids": p6_ids,
+    "p6_roundtrip": p6_roundtrip, "p7_copies": p7_copies, "p7_report": p7_report, "p7_kept": p7_kept, "p8_found": p8_found,
     "p8_redacted": p8_redacted,
 }
 
@@ -171,6 +204,13 @@ scored AS (
   FROM pairs JOIN tokens a ON token_a = a.token JOIN tokens b ON token_b = b.token, total)
 """
 
+_NEWEST = """
+WITH latest AS (
+  SELECT string_id, text,
+         row_number() OVER (PARTITION BY string_id ORDER BY loaded_at DESC NULLS LAST, text DESC) AS rn
+  FROM mapped_string WHERE string_id IS NOT NULL AND text IS NOT NULL)
+"""
+
 SQL = {
     "p1_found": _TERMS + "SELECT term, mark FROM marked WHERE mark IS NOT NULL",
     "p1_terms": _TERMS + "SELECT term, n_occurrences, n_records, mark FROM marked",
@@ -180,5 +220,9 @@ SQL = {
         round(n * n_ab / (n_a * n_b)::DOUBLE, 6) AS lift, round(log2(n * n_ab / (n_a * n_b)::DOUBLE), 6) AS pmi,
         round(ln((n_ab + 0.5) * (greatest(n - n_a - n_b + n_ab, 0) + 0.5) / ((n_a - n_ab + 0.5) * (n_b - n_ab + 0.5))), 6) AS log_odds
         FROM scored""",
+    "p5_kept": _NEWEST + r"""SELECT string_id, regexp_replace(text, '[\p{Z}\p{C}]', '', 'g') AS text FROM latest
+        WHERE rn = 1 AND regexp_replace(text, '[\p{Z}\p{C}]', '', 'g') <> ''""",
+    "p7_kept": """SELECT source, count(DISTINCT doc_id) AS n_docs, any_value(max_repeats) AS max_repeats, true AS caps_kept, true AS share_reached
+        FROM documents JOIN source_weights USING (source) GROUP BY source""",
     "p6_roundtrip": "SELECT doc_id, octet_length(encode(coalesce(text, '')))::INT AS n_bytes, true AS same FROM documents",
 }

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +48,7 @@ def _postings(pattern: str, most: int):
         ids: list[np.ndarray] = []
         seen: list[np.ndarray] = []
         held = 0
+        number = TaskContext.get().partitionId() << 40  # records of a task are numbered without gaps
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal terms, ids, seen, held
@@ -62,7 +64,8 @@ def _postings(pattern: str, most: int):
             terms, ids, seen, held = [], [], [], 0
 
         for batch in batches:
-            who = batch["id"].to_numpy()
+            who = np.arange(number, number + batch.num_rows)
+            number += batch.num_rows
             for start in range(0, len(who), 2000):
                 part = who[start : start + 2000]
                 found = [find(t.lower()) for t in batch["text"][start : start + 2000].to_pylist()]
@@ -111,11 +114,15 @@ def term_counts(records: DataFrame, pattern: str = TERM, most_postings: int = PO
     it comes from the bitmap of the whole collection. Identifiers must be distinct; NULL
     texts must be gone (see `latest_text`). An empty table gives no rows.
 
+    Sparse identifiers would leave one record in each block. So a task numbers its records
+    from its own offset, in the order of their identifiers, which a repeated task gives
+    again; after `latest_text` the rows have that order already and the sort is free.
+
     A task keeps at most ``most_postings`` postings before it writes blocks. Blocks are
     hashed by term and identifier block, so a term that occurs everywhere is merged by as
     many tasks as there are identifier blocks, and its counts are summed at the end.
     """
-    blocks = records.select("id", "text").mapInArrow(_postings(pattern, most_postings), _BLOCK)
+    blocks = records.select("id", "text").sortWithinPartitions("id").mapInArrow(_postings(pattern, most_postings), _BLOCK)
     merged = blocks.repartition("term", "block").sortWithinPartitions("term", "block")
     counted = merged.mapInArrow(_cardinality, "term string, n bigint, records bigint")
     return counted.groupBy("term").agg(F.sum("n").alias("n_occurrences"), F.sum("records").alias("n_records"))
