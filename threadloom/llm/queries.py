@@ -132,7 +132,7 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source with documents: whether the mixture keeps the repeat cap and reaches its share.
 
-    A share is reached if the tokens miss its part of the planned mixture by less than the
+    A share is reached if the tokens miss its part of the planned mixture by at most the
     largest document of the source.
     """
     copies, plan = _mixture(spark, sf_dir)
@@ -143,7 +143,7 @@ def p7_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = per.join(plan.select("source", "max_repeats", "aim_tokens"), "source")
     miss = F.abs(F.col("used") - F.col("aim_tokens"))
     return both.select(
-        "source", "n_docs", "max_repeats", ((F.col("most") <= F.col("max_repeats")) & (F.col("least") >= 0)).alias("caps_kept"), (miss < F.col("largest") + 1e-6 * F.col("aim_tokens")).alias("share_reached")
+        "source", "n_docs", "max_repeats", ((F.col("most") <= F.col("max_repeats")) & (F.col("least") >= 0)).alias("caps_kept"), (miss <= F.col("largest") + 1e-6 * F.col("aim_tokens")).alias("share_reached")
     )
 
 
