@@ -8,7 +8,7 @@ with blanks, by place in a stretch of letters in scripts without.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import regex
 
@@ -22,6 +22,8 @@ _EAST, _THAI = r"[\p{Han}\p{Hiragana}\p{Katakana}ー]", r"[\p{Thai}&&[\p{L}\p{M}
 RUN_JAVA = "[" + "".join(rf"\p{{Is{s}}}" for s in _RUN_SCRIPTS) + "]"
 #: Holds all letters of these scripts and few others; it only spares texts without any.
 ANY = re.compile("[\u0590-\u1cff\u2e80-\ud7ff\uf900-\ufdff\ufe70-\ufefe\uff66-\uffdf\U0001b000-\U0001b16f\U00020000-\U0003ffff]")
+#: The same blocks for Spark's regular expressions, a letter or mark of them.
+ANY_JAVA = "[\u0590-\u1cff\u2e80-\ud7ff\uf900-\ufdff\ufe70-\ufefe\uff66-\uffdf]"
 SPACED_WORD = regex.compile(rf"(?V1)(?<![\p{{L}}\p{{M}}]){_SPACED}+(?![\p{{L}}\p{{M}}])")
 RUNS = regex.compile(rf"(?V1)(?:{_EAST}+|{_THAI}+|[\p{{Lao}}\p{{Khmer}}\p{{Myanmar}}]+)")
 #: Shortest and longest names looked for inside a stretch without blanks.
@@ -48,7 +50,7 @@ _THAI_TITLES = (
 _THAI_LABELS = r"(?:ผู้เขียน|ผู้แต่ง|ผู้ติดต่อ|ผู้ตรวจสอบ|ติดต่อ) ?[:：] ?"
 _THAI_FOLLOW = r"เขียน|กล่าว|ตรวจ|บอก|ได้|เป็น|และ|ส่ง|อยู่|คือ|จะ|ไม่|มี|ที่|ให้|ทำ|พบ|แก้"
 _EAST_LABELS = r"(?:作者|联系人|负责人|审阅人|审核人|著者|執筆者|担当者|連絡先|連絡人|聯絡人) ?[:：] ?"
-_EAST_FOLLOW = r"已检查|已审阅|审阅了|检查了|写了|写道|说|表示|さん|氏|様|先生|がコード|が書|は"
+_EAST_FOLLOW = r"已检查|已审阅|审阅了|检查了|写了|写道|说|表示|さん|氏|様|先生|が|は"
 #: What can stand right before a name: the border of a stretch of letters, or a word that leads to it.
 _EAST_START = r"(?:(?<![\p{L}\p{M}])|(?<=[请由向和与给跟致找問问]|联系|感谢|通知|告诉|[はがをにとの]))"
 _NOT_NAME = r"请|联系|感谢|通知|告诉|询问|大学|中学|小学|学院|研究|工程|模型|系统|客座|名誉|荣誉|讲座|特聘|各位|这位|那位|一位|[们的是在了有这那个某每副老女男我你您他她它]"
@@ -80,9 +82,10 @@ _PLACES = [
         ),
     ),
     (
-        re.compile(f"{_EAST_LABELS}|先生|女士|教授|博士|老师|小姐|同学|さん|氏|様"),
+        re.compile(f"{_EAST_LABELS}|作者|联系人|负责人|審閲者|先生|女士|教授|博士|老师|小姐|同学|さん|氏|様"),
         regex.compile(
             rf"(?V1)(?:{_EAST_LABELS})(?P<l>{_EAST}{{2,8}}?)(?={_EAST_FOLLOW}|[^\p{{L}}\p{{M}}]|$)"
+            rf"|(?:作者|联系人|负责人|審閲者)(?P<l>{_EAST_NAME}{{2,4}}?)(?=已|[，。、\s])"
             rf"|{_EAST_START}(?P<f>{_EAST_NAME}{{1,4}}?)(?=先生|女士|教授(?!法|学|了|的)|博士(?!生|后|学)|老师|小姐|同学(?!们))"
             rf"|{_EAST_START}(?P<f>{_EAST_NAME}{{2,6}}?)(?=さん|氏(?!名)|(?<![多仕同模異一])様(?![々子式]))"
         ),
@@ -116,18 +119,31 @@ def harvest(form: str) -> Iterator[tuple[str, bool]]:
                 yield part, k == 0 and len(parts) > 1
 
 
-def stretches(form: str) -> Iterator[tuple[int, str]]:
-    """(start, part) of every part of a stretch without blanks that could be a name."""
+def stretches(form: str, starts: frozenset[str] | None = None) -> Iterator[tuple[int, str]]:
+    """(start, part) of every part of a stretch without blanks that could be a name.
+
+    With ``starts`` only of the parts that begin with one of them.
+    """
     for m in RUNS.finditer(form):
         run = m[0]
         for a in range(len(run) - SHORT + 1):
+            if starts is not None and run[a : a + SHORT] not in starts:
+                continue
             for n in range(min(LONG, len(run) - a), SHORT - 1, -1):
                 yield m.start() + a, run[a : a + n]
 
 
-def spans(form: str, taken: list[tuple[int, int]], known: Callable[[str], tuple[int, int] | None]) -> Iterator[tuple[int, int, tuple[int, int, int, int, int]]]:
-    """(start, end, (known, titled, lead, follow, two words)) of the proposed names outside ``taken``."""
-    used = list(taken)
+def begins(names: Iterable[str]) -> frozenset[str]:
+    """What the names start with that are looked for at every place."""
+    return frozenset(name[:SHORT] for name in names if in_run(name))
+
+
+def spans(form: str, known: Callable[[str], tuple[int, int] | None], starts: frozenset[str]) -> Iterator[tuple[int, int, tuple[int, int, int, int, int]]]:
+    """(start, end, (known, titled, lead, follow, two words)) of the proposed names.
+
+    ``starts`` are the beginnings (`begins`) of the known names of scripts without blanks.
+    """
+    used: list[tuple[int, int]] = []
     free = lambda a, b: all(b <= x or a >= y for x, y in used)
     follows = lambda b: _AFTER.match(form, b) is not None
     for a, b, group in led(form):
@@ -150,7 +166,7 @@ def spans(form: str, taken: list[tuple[int, int]], known: Callable[[str], tuple[
             b, n, k = words[k][1], n + 1, k + 1
         yield a, b, (True, False, False, follows(b), n > 1)
     at = 0
-    for a, part in stretches(form):
+    for a, part in stretches(form, starts):
         if a >= at and known(part) is not None and free(a, a + len(part)):
             at = a + len(part)
             yield a, at, (True, False, False, follows(at), False)

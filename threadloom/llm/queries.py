@@ -160,14 +160,20 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with typed placeholders in place of personal information."""
     docs = _documents(spark, sf_dir)
-    return pii.replace_personal(docs, *pii.train(docs)[:2]).withColumnRenamed("id", "doc_id")
+    return pii.replace_personal(docs, *pii.train(docs)).withColumnRenamed("id", "doc_id")
+
+
+def p8_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per type: proposed spans, and decisions changed by the estimation and by the classifier."""
+    report = pii.train(_documents(spark, sf_dir))[0].report
+    return spark.createDataFrame(report, "pii_type string, n_spans bigint, changed_by_estimation bigint, changed_by_classifier bigint")
 
 
 QUERIES = {
     "p1_found": p1_found, "p1_terms": p1_terms, "p3_found": p3_found, "p3_classes": p3_classes, "p3_unified": p3_unified, "p4_found": p4_found,
     "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_sentences": p5_sentences, "p5_kept": p5_kept, "p6_ids": p6_ids,
     "p6_roundtrip": p6_roundtrip, "p7_copies": p7_copies, "p7_report": p7_report, "p7_kept": p7_kept, "p8_found": p8_found,
-    "p8_redacted": p8_redacted,
+    "p8_redacted": p8_redacted, "p8_model": p8_model,
 }
 
 _TERMS = r"""

@@ -86,12 +86,22 @@ def _unstable() -> frozenset[str]:
 
 
 @lru_cache(maxsize=1)
-def _stretches() -> re.Pattern:
-    """Runs of unstable characters with the one character before them."""
-    codes = np.array(sorted(map(ord, _unstable())))
-    edges = np.flatnonzero(np.r_[True, np.diff(codes) > 1, True])
-    body = "".join(f"{chr(codes[a])}-{chr(codes[b - 1])}" for a, b in zip(edges[:-1], edges[1:], strict=True))
-    return re.compile(f"(?s)[^{body}]?[{body}]+")
+def _unstable_points() -> np.ndarray:
+    """For every code point whether it is unstable."""
+    mask = np.zeros(0x11_0000, bool)
+    mask[[ord(c) for c in _unstable()]] = True
+    return mask
+
+
+def _stretches(text: str) -> list[tuple[int, int]]:
+    """Runs of unstable characters, each with the one character before it."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.flatnonzero(_unstable_points()[points])
+    if not len(at):
+        return []
+    gaps = np.flatnonzero(np.diff(at) > 1)
+    starts, ends = at[np.r_[0, gaps + 1]], at[np.r_[gaps, len(at) - 1]] + 1
+    return list(zip(np.maximum(starts - 1, 0).tolist(), ends.tolist(), strict=True))
 
 
 def _segment(text: str, start: int, end: int) -> tuple[str, list[int]]:
@@ -128,6 +138,7 @@ def _segment(text: str, start: int, end: int) -> tuple[str, list[int]]:
 #: Blocks of the alphabets that share shapes.
 _SHARED = ((0x370, 0x590), (0x13A0, 0x1400), (0x1C80, 0x1C90), (0x1F00, 0x2000), (0x2C80, 0x2D00), (0xA4D0, 0xA500), (0xA640, 0xA6A0), (0xAB70, 0xABC0), (0x10400, 0x10450))
 _OTHER_ALPHABETS = frozenset(_LATIN) | {chr(c) for a, b in _SHARED for c in range(a, b)}
+_RARE = frozenset(c for c in _OTHER_ALPHABETS if alphabet(c) in ALPHABETS and alphabet(c) not in ("LATIN", *_NEAR))
 #: A unit: letters of these alphabets, marks, digits, and what joins them in names.
 _UNIT = re.compile(
     "[0-9A-Za-z\u00aa\u00b5\u00ba\u00c0-\u02af\u0300-\u036f\u1d00-\u1dbf\u1e00-\u1fff\u2c60-\u2c7f\ua720-\ua7ff\uab30-\uab6f._'’"
@@ -198,18 +209,19 @@ def _main_alphabet(text: str) -> str:
 
 def _normalise_stretches(text: str) -> tuple[str, list[int] | None]:
     """Rewrite the unstable stretches of a text and splice them into the rest."""
-    if _unstable().isdisjoint(text):
+    stretches = _stretches(text)
+    if not stretches:
         return text, None
     out: list[str] = []
     places: list[int] = []
     at = 0
-    for m in _stretches().finditer(text):
-        out.append(text[at : m.start()])
-        places += range(at, m.start())
-        part, where = _segment(text, m.start(), m.end())
+    for start, end in stretches:
+        out.append(text[at:start])
+        places += range(at, start)
+        part, where = _segment(text, start, end)
         out.append(part)
         places += where
-        at = m.end()
+        at = end
     out.append(text[at:])
     places += range(at, len(text))
     return "".join(out), places
@@ -223,7 +235,7 @@ def unify(text: str) -> tuple[str, list[int] | None]:
     if _OTHER_ALPHABETS.isdisjoint(text):
         return text, places
     units = [(m.start(), m.end(), *_settle(m[0])) for m in _UNIT.finditer(text)]
-    main = _main_alphabet(text)
+    main = "LATIN" if all(name for *_, name in units) and _RARE.isdisjoint(text) else _main_alphabet(text)
     if main not in ("LATIN", *_NEAR):  # words of doubles only look Latin in a text of that alphabet
         units = [(a, b, u, "" if name == "LATIN" and not _foreign(u, main) else name) for a, b, u, name in units]
     out, at = [], 0
