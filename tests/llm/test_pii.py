@@ -1,6 +1,10 @@
+import re
+
 import numpy as np
 import pytest
 
+from conftest import DATA
+from llm_held_out import HELD_OUT
 from threadloom.llm import pii
 
 GIVEN = ["Rowan", "Celia", "Bram", "Odette", "Milosz", "Annegret", "Elżbieta", "Тихон"]
@@ -16,23 +20,26 @@ LINES = [
 ]
 
 
-def corpus(n, seed):
-    import re
+def unmark(line):
+    """The text of a line and its mentions (type, start, end)."""
+    text, found = "", []
+    for m in re.finditer(r"<(name|email|phone|id_number|address):([^>]*)>|.", line, re.S):
+        if m[1]:
+            found.append((m[1], len(text), len(text) + len(m[2])))
+        text += m[2] or m[0]
+    return text, found
 
+
+def corpus(n, seed):
     rng = np.random.default_rng(seed)
     docs, truth = [], []
     for k in range(n):
         text = ""
         for t in rng.choice(LINES, 6):
             f = str(rng.choice(FAMILY))
-            line = t.format(g=rng.choice(GIVEN), f=f, U=f.upper(), l=f"{f[:4].lower()}.{k}", n=rng.integers(100, 999), m=rng.integers(10, 99))
-            for m in re.finditer(r"<(name|email|phone|id_number|address):([^>]*)>|.", line, re.S):
-                if m[1]:
-                    truth.append((k, m[1], len(text), len(text) + len(m[2])))
-                    text += m[2]
-                else:
-                    text += m[0]
-            text += "\n"
+            line, found = unmark(t.format(g=rng.choice(GIVEN), f=f, U=f.upper(), l=f"{f[:4].lower()}.{k}", n=rng.integers(100, 999), m=rng.integers(10, 99)))
+            truth += [(k, kind, len(text) + a, len(text) + b) for kind, a, b in found]
+            text += line + "\n"
         docs.append((k, text, "x"))
     return docs, truth
 
@@ -52,7 +59,7 @@ def test_held_out_quality(spark, trained, joined):
     docs, truth = corpus(150, 2)
     model, names, _ = trained
     if joined:
-        model = pii.Model(model.weights, model.reliability, None)
+        model = pii.replace(model, names=None)
     rows = pii.find_personal(spark.createDataFrame(docs, SCHEMA), model, names).collect()
     got, want = {tuple(r) for r in rows}, set(truth)
     for kind in pii.TYPES:
@@ -72,6 +79,8 @@ def test_placeholders_and_edges(spark, trained):
     model, names, _ = trained
     rows = [(1, "Author: Celia Marlby\nCall +48​ 000 ４73 145 now", "x"), (2, None, "x"), (3, "", "x"), (4, "nothing here", "x"), (1, "Dear Bram, hi", "x"), (5, "plain words " * 30_000 + "Author: Celia Marlby", "x")]
     df = spark.createDataFrame(rows, SCHEMA)
+    again = {tuple(r) for r in pii.replace_personal(df.where("id <> 1"), model, names, pii._searched(df.where("id <> 1"), model, names)).collect()}
+    assert again == {tuple(r) for r in pii.replace_personal(df.where("id <> 1"), model, names).collect()}
     got = {(r["id"], r["text"][-60:] if r["text"] else r["text"], r["n_found"]) for r in pii.replace_personal(df, model, names).collect()}
     assert (1, "Author: [NAME]\nCall [PHONE] now", 2) in got and (1, "Dear [NAME], hi", 1) in got
     assert (2, None, 0) in got and (3, "", 0) in got and (4, "nothing here", 0) in got
@@ -90,10 +99,50 @@ def test_em_finds_the_reliable_labeler():
     vote = lambda good: np.where(rng.random(4000) < good, np.where(y, 1, 2), np.where(y, 2, 1))
     votes = np.stack([vote(0.95), vote(0.6), np.where(rng.random(4000) < 0.5, 0, vote(0.9))], 1)
     patterns, counts = np.unique(votes, axis=0, return_counts=True)
-    post, table, share = pii.em(patterns, counts.astype(float), least_for=0, least_against=0, silence=9)
-    assert abs(share - 0.4) < 0.05 and table[1][0][1] > table[1][1][1]
+    post, right = pii.em(patterns, counts.astype(float))
+    assert right[0] > right[2] > right[1]
     by = {tuple(p): x for p, x in zip(patterns, post, strict=True)}
-    assert np.mean([(by[tuple(v)] > 0.5) == t for v, t in zip(votes, y, strict=True)]) > 0.92
+    decided = np.array([by[tuple(v)] > 0.5 for v in votes])
+    counted = (votes == 1).sum(1) > (votes == 2).sum(1)
+    assert (decided == y).mean() > 0.92 and (decided == y).mean() > (counted == y).mean() + 0.05
+
+
+def test_em_leaves_a_labeler_that_meets_no_other_as_it_was():
+    post, right = pii.em(np.array([[1, 0, 0], [0, 2, 0], [0, 1, 1]]), np.array([10.0, 9000.0, 50.0]))
+    assert right[0] == pytest.approx(0.8) and post[0] > 0.5 > post[1]
+
+
+def held_out(spark):
+    docs = [(r["doc_id"], r["text"], "x") for r in spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").collect()]
+    rows, truth = [], set()
+    for k, line in enumerate(HELD_OUT):
+        text, found = unmark(line)
+        rows.append((10**7 + k, text, "x"))
+        truth |= {(10**7 + k, *f) for f in found}
+    df = spark.createDataFrame(docs + rows, SCHEMA)
+    model, names, proposals = pii.train(df)
+    return model, {tuple(r) for r in pii.find_personal(df, model, names, proposals).collect() if r["id"] >= 10**7}, truth
+
+
+def test_sentences_no_pattern_was_written_for(spark):
+    _, got, want = held_out(spark)
+    for kind in pii.TYPES:
+        g, w = ({x for x in s if x[1] == kind} for s in (got, want))
+        assert len(g & w) / len(w) >= 0.9, (kind, sorted(w - g))
+        assert len(g & w) / len(g) >= 0.9, (kind, sorted(g - w))
+
+
+def test_learnt_contexts_and_classifier_find_what_no_labeler_votes_for(spark):
+    docs, _ = corpus(300, 5)
+    page = [(5000 + k, f"Please page {GIVEN[k % 7]} now, said the desk. The Marlstone{'abcdefgh'[k % 8]} file grew.", "x") for k in range(80)]
+    probe = [(9000, "Please page Quorvane now, said the desk.", "x"), (9001, "Tables from Quorvand grew.", "x")]
+    df = spark.createDataFrame(docs + page + probe, SCHEMA)
+    model, names, proposals = pii.train(df)
+    got = {tuple(r) for r in pii.find_personal(df, model, names, proposals).where("id >= 9000").collect()}
+    assert got == {(9000, "name", 12, 20)}
+    spans = {r["id"]: r["spans"] for r in proposals.where("id = 9000").collect()}[9000]
+    assert not any(s["votes"] // 3**k % 3 == pii.YES for s in spans for k in range(pii.STATIC))
+    assert dict((r[0], r[2]) for r in model.report)["name"] > 0
 
 
 # names in scripts without case, in places that show them and in places that do not

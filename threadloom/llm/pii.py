@@ -52,7 +52,7 @@ NAME_WORD, COMMON_WORD, NEVER_SHOWN = range(3)
 #: Uses without a shown one from which a capitalised word counts as no name.
 FREQUENT = 50
 
-_WORD = r"\p{Lu}[\p{Ll}\p{M}]+(?:’\p{Lu}[\p{Ll}\p{M}]+)?"
+_WORD = r"(?:\p{Lu}[’'])?\p{Lu}[\p{Ll}\p{M}]+(?:’\p{Lu}[\p{Ll}\p{M}]+)?"
 _CAPS = r"\p{Lu}[\p{Lu}\p{M}]{2,}"
 _PART = rf"(?:{_WORD}|{_CAPS})(?:-(?:{_WORD}|{_CAPS}))*"
 _FREE = r"(?<![\p{Latin}\p{Cyrillic}\p{Greek}\p{M}\p{Nd}_@./\\+-])"
@@ -101,7 +101,7 @@ _ADDRESSES = [
     rf"\d{{1,4}}(?: bis| ter)?,? (?:rue|avenue|av\.|bd|boulevard|impasse|place|chemin|allée|quai|cours)(?: (?:de la|de l’|de l'|du|des|de))? ?{_CAP}(?: (?:de |du |des )?{_CAP}){{0,3}}(?:{_GAP}\d{{5}} {_TOWN})?",
     rf"(?:ул\.|улица|пр\.|проспект|пер\.|пл\.|наб\.) {_CAP}(?: {_CAP}){{0,2}}, (?:д\. ?)?\d{{1,4}}[а-я]?(?:, кв\. ?\d+)?(?:, (?:г\. )?{_TOWN})?(?:, \d{{6}})?",
     r"(?:\p{Han}{2,3}省)?(?:(?<=[到至在于往：:，,。\s])\p{Han}{2,4}?|\p{Han}{2})[市县区镇]\p{Han}{2,6}?[路街道巷]\d+号(?:\d+号?楼)?(?:\d+单元)?(?:\d+室)?",
-    rf"(?:Via|Viale|Piazza|Corso|Largo|Vicolo|Strada|Calle|C/|Avenida|Avda\.|Paseo|Plaza|Camino|Ronda|Carrer|Rua|Travessa|Praça) ?{_LINK}{_CAP}(?: {_LINK}{_CAP}){{0,3}},? (?:n\.?[º°] ?)?\d{{1,4}}(?:[a-z]\b|/\d+|-\d+)?(?:, \d{{1,2}}[ºª°] ?[A-Z]?\b)?(?:{_GAP}(?:\d{{5}}|\d{{4}}-\d{{3}}) {_TOWN})?",
+    rf"(?:Via|Viale|Piazza|Corso|Largo|Vicolo|Strada|Calle|C/|Avenida|Avda\.|Paseo|Plaza|Camino|Ronda|Carrer|Rua|Travessa|Praça) ?(?:das |dos )?{_LINK}{_CAP}(?: {_LINK}{_CAP}){{0,3}},? (?:n\.?[º°] ?)?\d{{1,4}}(?:[a-z]\b|/\d+|-\d+)?(?:, \d{{1,2}}[ºª°] ?[A-Z]?\b)?(?:{_GAP}(?:\d{{5}}|\d{{4}}-\d{{3}}) {_TOWN})?",
     rf"\p{{Lu}}[\p{{L}}\p{{M}}]*(?:straat|laan|gracht|plein|kade) \d{{1,4}}[a-zA-Z]?(?:{_GAP}\d{{4}} ?[A-Z]{{2}} {_TOWN})?",
     rf"(?:P\.? ?O\.? Box|Postfach|BP|Apartado(?: de Correos)?|Casella postale|Skrytka pocztowa|а/я) \d{{1,6}}(?:, {_TOWN}{_EN_CODE}|{_GAP}\d{{5}} {_TOWN})?",
     r"(?:\p{Han}{2,3}[都道府県])?\p{Han}{1,4}[市区町村][\p{Han}ノヶケのがァ-ヴ]{1,6}\d+(?:丁目)?(?:-\d+){1,3}",
@@ -145,6 +145,8 @@ _SENTENCE_END = regex.compile(r"[.!?。:\n]\s*$")
 _FRENCH = regex.compile(r"\b(?:la|le|les|une|des|du|parle|est|de)\s")
 _BEFORE = {k: regex.compile(f"(?r){p}") for k, p in ((EMAIL, BEFORE_EMAIL), (PHONE, BEFORE_PHONE), (ID, BEFORE_ID), (ADDRESS, BEFORE_ADDRESS))}
 _UNIT_AFTER = regex.compile(_UNITS)
+#: An article before a capitalised word nobody has shown to be a name.
+_ARTICLE = regex.compile(r"(?r)(?<![\p{L}\p{M}])(?i:the|an?|der|die|das|den|dem|des|ein|eine[nmrs]?|les?|la|une?|el|los|las|il|lo|gli|i|os|as|de|het) ")
 _NOT = regex.compile(rf"(?r)(?<![\p{{L}}])(?:{NOT_PERSONAL})")
 
 # ------------------------------------------------------------------ gazetteer
@@ -155,7 +157,12 @@ def _halves(token: str) -> list[str]:
 
 
 # Pronouns that stand where names do.
-_NO_PART = frozenset(TITLES) | frozenset("I He She They We You It Who This That There Nobody Everyone Er Sie Wir Ich Es Il Elle On Nous Vous Ils Elles Ona Oni Он Она Они Мы Вы".split())
+_LEADING = (
+    "Dear Hi Hello Hey Hallo Liebe Lieber Cześć Drogi Droga Bonjour Salut Cher Chère Привет Здравствуйте Hola Estimado Estimada Querido Querida Ciao Caro Cara Gentile Olá Thanks Cheers Best Regards"
+    " Sincerely Merci Cordialement Grüße Pozdrawiam Saludos Saluti Abraços Author Authors Name Contact Reviewer Owner From To Attn Label Assignee Autor Autorin Autorka Kontakt Ansprechpartner"
+    " Ansprechpartnerin Auteur Автор Контакт Имя Nombre Nome Faktura Rechnung Imię By"
+).split()
+_NO_PART = frozenset([*TITLES, *_LEADING]) | frozenset("I He She They We You It Who This That There Nobody Everyone Er Sie Wir Ich Es Il Elle On Nous Vous Ils Elles Ona Oni Он Она Они Мы Вы".split())
 
 _PLAIN = regex.compile(r"(?<![\w@.+/\p{M}-])[\p{L}\p{M}]+(?![\w@+/\p{M}-]|\.\w)")
 
@@ -380,7 +387,20 @@ class Words:
         return COMMON_WORD if COMMON_WORD in levels else max(levels, default=None)
 
 
-def _names(form: str, words: Words) -> Iterator[Span]:
+#: Capitals of an acronym at most; longer words of capitals may be family names.
+ACRONYM = 4
+
+
+def _acronym(word: str) -> bool:
+    return word.isupper() and len(word) <= ACRONYM
+
+
+def _names(form: str, words: Words, taken: list[tuple[int, int]]) -> Iterator[Span]:
+    """Names outside ``taken``, the places of addresses.
+
+    Known names, alone or in twos, what a title, a label or a word of saying shows, runs of
+    words the corpus knows nothing about, and single ones inside a sentence.
+    """
     for m in NAME_RE.finditer(form):
         led = _LED.match(m[0])
         info = []
@@ -392,6 +412,9 @@ def _names(form: str, words: Words) -> Iterator[Span]:
         k = 0
         while k < len(info):
             a, b, token, hit, new = info[k]
+            if token in _NO_PART or any(x <= a < y for x, y in taken):
+                k += 1
+                continue
             start, end, n = a, b, 1
             initials = bool(led) and k == 0
             if initials:
@@ -405,9 +428,11 @@ def _names(form: str, words: Words) -> Iterator[Span]:
                     end, n = nxt[1], 2
                 elif gap == " " and hit is not None and given[0] > given[1] and nxt[2] not in _NO_PART:
                     end, n = nxt[1], 2
-                elif gap == " " and new and (nxt[4] or nxt[3] is not None):
+                elif gap == " " and new and token.isupper() and len(token) > ACRONYM and family[0] > family[1]:
+                    end, n = nxt[1], 2
+                elif gap == " " and new and not _acronym(token) and (nxt[4] and not _acronym(nxt[2]) or family[1] > family[0]):
                     end, n = nxt[1], 2
-                    while n < 4 and k + n < len(info) and info[k + n][4] and form[end : info[k + n][0]] == " ":
+                    while n < 4 and k + n < len(info) and info[k + n][4] and not _acronym(info[k + n][2]) and form[end : info[k + n][0]] == " ":
                         end, n = info[k + n][1], n + 1
             k += n
             if initials and m[0].startswith("M.") and _FRENCH.search(form, end, end + 32):
@@ -420,14 +445,16 @@ def _names(form: str, words: Words) -> Iterator[Span]:
             shown = titled or lead or follow or initials
             if hit is None and not (shown or n > 1 or new and not sentence_start and not token.isupper()):
                 continue
+            run = n > 1 and hit is None
+            against = hit is None and not titled and (n == 1 and (sentence_start or not new) or form[start:end].isupper() or not initials and _ARTICLE.match(form, max(0, start - 8), start) is not None)
             yield Span(NAME, start, end, (
-                YES if hit is not None else 0 if titled or initials else NO,
+                YES if hit is not None else 0 if titled or initials or run else NO,
                 YES if titled else 0,
                 YES if lead else 0,
                 YES if follow else 0,
                 YES if initials else 0,
                 YES if n > 1 else 0,
-                NO if hit is None and not titled and (sentence_start or not new) else 0,
+                NO if against else 0,
             ))
     if caseless.ANY.search(form) is None:
         return
@@ -437,7 +464,8 @@ def _names(form: str, words: Words) -> Iterator[Span]:
 
 def propose(form: str, words: Words) -> list[Span]:
     """All proposed spans of a text in its consistent form; they may overlap."""
-    return [*_emails(form), *_numbers(form), *_addresses(form), *_names(form, words)]
+    addresses = list(_addresses(form))
+    return [*_emails(form), *_numbers(form), *addresses, *_names(form, words, [(s.start, s.end) for s in addresses])]
 
 
 @lru_cache(maxsize=1 << 16)
