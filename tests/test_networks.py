@@ -5,10 +5,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.nn import activations, initializers, losses, optimizers
+from threadloom import session
+from threadloom.nn import activations, initializers, layers, losses, optimizers
 from threadloom.nn import model as nn
 from threadloom.operators import cooccurrence, dataset, glove, metrics
-from threadloom.operators.tracker import Tracker
+from threadloom.operators.tracker import Tracker, last_values, sampled
 from threadloom.sources import store
 
 
@@ -119,7 +120,11 @@ def test_cooccurrence_store_and_batches(spark, tmp_path):
     rows = spark.createDataFrame([(k % 7, k % 5, float(k)) for k in range(25)], cooccurrence.SCHEMA)
     cooccurrence.write(rows, f"{tmp_path}/c")
     again = cooccurrence.read(spark, f"{tmp_path}/c")
-    assert [len(b) for b in cooccurrence.batches(again, 10)] == [10, 10, 5]
+    blocks = list(cooccurrence.batches(again, 10))
+    assert [len(b) for b in blocks] == [10, 10, 5] and cooccurrence.count(again) == 25
+    assert sorted((int(r["i"]), int(r["j"]), float(r["value"])) for b in blocks for r in b) == sorted(map(tuple, rows.collect()))
+    odd = next(iter(cooccurrence.batches(spark.createDataFrame([(None, 2, None)], cooccurrence.SCHEMA))))
+    assert odd["i"][0] == -1 and np.isnan(odd["value"][0]) and list(cooccurrence.batches(rows.limit(0))) == []
     mixed = cooccurrence.shuffle_rows(again, 1)
     assert sorted(map(tuple, mixed.collect())) == sorted(map(tuple, rows.collect()))
 
@@ -152,6 +157,46 @@ def test_metrics_edges(spark):
         metrics.top_k_accuracy(good, 4, 3)
 
 
+def test_counts_beyond_32_bits(spark):
+    big = 5_000_000_000
+    counts = spark.createDataFrame([(0, big, big, 2 * big, 6 * big), (1, 2 * big, big, big, 6 * big)], "class_id int, tp bigint, fp bigint, fn bigint, tn bigint")
+    first = metrics.per_class(counts).where("class_id = 0").first()
+    assert first["precision"] == 0.5 and first["recall"] == pytest.approx(1 / 3) and first["mcc"] == pytest.approx(4 / math.sqrt(2 * 3 * 7 * 8)) and first["kappa"] > 0
+    assert metrics.overall(counts).first()["accuracy"] == 0.5
+
+
+def test_values_that_are_no_numbers(spark):
+    history = spark.createDataFrame([(0, 1, float("nan")), (0, 1, 2.0), (0, 0, 3.0), (1, 5, float("nan"))], "run int, step int, value double")
+    assert {(r["run"], r["step"], r["value"]) for r in last_values(history, "run").collect()} == {(0, 1, 2.0), (1, 5, None)}
+    assert sorted((r["step"], str(r["value"])) for r in sampled(history, 5).collect()) == [(0, "3.0"), (5, "None")]
+
+
+def test_sizes_are_checked():
+    with pytest.raises(ValueError, match="too many"):
+        layers.dense(F.lit(1), np.zeros((1000, 1000)), np.zeros(1000))
+    model = nn.Model([nn.NLayer(2, 2)])
+    nn.MOST_BYTES, kept = 8, nn.MOST_BYTES
+    try:
+        with pytest.raises(ValueError, match="parameters"):
+            model.check_size()
+    finally:
+        nn.MOST_BYTES = kept
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(lambda: {})
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.ensure_checkpoint_dir(Session())
+
+
 def test_data_sets(spark):
     df = spark.range(11).withColumnRenamed("id", "key")
     assert dataset.split(df, "key", 0.5).where("part = 'head'").agg(F.count("key"), F.max("key")).first() == (6, 5)

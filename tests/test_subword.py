@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from threadloom.functions import places, text
 from threadloom.plans.pipeline import TokenizationPipeline
 from threadloom.subword import models, training, words
 
@@ -112,6 +113,29 @@ def test_pipeline_lengths_and_nulls(spark):
     assert all(len(r["ids"]) == len(r["attention_mask"]) for r in rows.values() if r["ids"])
 
 
+def test_pipeline_parts_can_be_replaced(spark):
+    docs = spark.createDataFrame([(0, "Brown  fox jumps"), (1, "the FOX"), (2, None)], "doc_id int, text string")
+    pipe = TokenizationPipeline(merges=30, normaliser=text.lower, splitter=text.split_blanks, byte_letters=False, kind=models.WordPiece, items=("[CLS]", "$"), pad_side="left")
+    rows = {r["doc_id"]: r for r in pipe.fit(docs).encode(docs, 8, strict=True).collect()}
+    known = pipe.model.vocabulary
+    assert isinstance(pipe.model, models.WordPiece) and "</b>fox" in known
+    assert [known[i] for i in rows[1]["ids"]][-3:] == ["[CLS]", "</b>the", "</b>fox"] and len(rows[1]["ids"]) == 8
+    assert {r["doc_id"]: r["subtokens"] for r in pipe.tokenize(docs).collect()}[1] == ["</b>the", "</b>fox"]
+
+
+def test_subtoken_places(spark):
+    model = models.BPE(["[UNK]", "a", "b"], [("a", "b"), ("ab", "</s>")])
+    df = spark.createDataFrame([(0, ["ab", " ", "aab"]), (1, []), (2, None)], "k int, t array<string>")
+    parts = F.transform(model.tokenize(F.col("t")), lambda t: t["subtokens"])
+    got = [r[0] for r in df.orderBy("k").select(places.placed_subtokens(F.col("t"), parts)).collect()]
+    flat = [[tuple(p) for p in w] for w in got[0]]
+    assert flat == [[("ab</s>", 0, 2)], [(" ", 2, 3), ("</s>", 3, 3)], [("a", 3, 4), ("ab</s>", 4, 6)]] and got[1] == [] and got[2] is None
+    piece = models.WordPiece(["[UNK]", "</b>a", "b"])
+    parts = F.transform(piece.tokenize(F.col("t")), lambda t: t["subtokens"])
+    got = df.where("k = 0").select(places.placed_subtokens(F.col("t"), parts)).first()[0]
+    assert [[tuple(p) for p in w] for w in got] == [[("</b>a", 0, 1), ("b", 1, 2)], [("[UNK]", 2, 3)], [("[UNK]", 3, 6)]]
+
+
 def test_pair_counts_overlap(spark):
     df = spark.createDataFrame([("aaa", 2)], "word string, freq bigint")
     assert {(r["l"], r["r"]): r["n"] for r in words.pair_counts(df).collect()} == {("a", "a"): 4, ("a", "</s>"): 2}

@@ -1,11 +1,12 @@
 import unicodedata
 
+import pytest
 import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from threadloom.functions import aligned, text
+from threadloom.functions import aligned, places, text
 from threadloom.sources.store import mapped, texts
 
 PIECES = [
@@ -98,3 +99,39 @@ def test_aligned_chain(spark):
     got = column(spark, ["Hugging  Hug", "", None], lambda c: aligned.chain(c, *steps))
     assert got[0]["text"] == "muging mu" and got[0]["alignment"] == [2, 2, 3, 4, 5, 6, 7, 11, 11]
     assert got[1]["text"] == "" and got[1]["alignment"] == [] and got[2] is None
+
+
+@pytest.mark.parametrize("name", sorted(text.PATTERNS))
+def test_long_runs(spark, name):
+    n = 2_000 if name == "gpt4o_literal" else 200_000  # the gaps of the literal take a look ahead for each letter
+    values = ["x" * n, "X" * n, "中" * n, "1" * n, "." * n, " " * n, "\n" * n, "e\u0301" * n, "aB" * n, "ab " * (n // 4)]
+    tokens = column(spark, values, lambda c: text.split_keep(c, text.PATTERNS[name]))
+    assert all("".join(t) == v for t, v in zip(tokens, values, strict=True))
+    if name == "boundless":
+        assert [len(t) for t in tokens] == [1, 1, 1, (n + 2) // 3, 1, 1, 1, 1, n + 1, n // 4 + 1]
+        assert tokens[3][:2] == ["1" * ((n - 1) % 3 + 1), "111"]
+
+
+def test_boundless_groups_digits_with_marks(spark):
+    values = ["".join(c + "\u0301" * (k % 3 == 0) for k, c in enumerate("12345678"[:n])) + "x" for n in range(1, 9)]
+    got = column(spark, values, text.split_boundless)
+    assert got == [regex.findall(text.BOUNDLESS, v) for v in values]
+
+
+def test_places_point_to_the_tokens(spark):
+    values = sample()
+    for name, pattern in text.PATTERNS.items():
+        got = column(spark, values, lambda c, p=pattern: places.placed(text.split_keep(c, p)))
+        for v, tokens in zip(values, got, strict=True):
+            assert (v is None) == (tokens is None)
+            assert all(v[t["start"] : t["end"]] == t["token"] for t in tokens or []), name
+            assert sum(t["end"] - t["start"] for t in tokens or []) == len(v or "")
+    words = column(spark, [" a  bc", "", None], lambda c: places.placed_where(text.split_keep(c, r"\s+"), lambda t: ~t.rlike(r"(?U)^\s")))
+    assert [[tuple(t) for t in w] if w is not None else None for w in words] == [[("a", 1, 2), ("bc", 4, 6)], [], None]
+
+
+def test_byte_places(spark):
+    values = ["aé中😀", "", None, "x"]
+    assert column(spark, values, places.byte_places) == [[0, 1, 1, 2, 2, 2, 3, 3, 3, 3], [], None, [0]]
+    letters = column(spark, values, text.byte_level)
+    assert [len(x) for x in letters if x is not None] == [10, 0, 1]

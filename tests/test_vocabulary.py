@@ -18,3 +18,15 @@ def test_encode_decode(spark):
     assert sorted((str(r["token"]), r["id"]) for r in rows.collect()) == [("None", 0), ("x", 1), ("y", 0)]
     back = V.decode(spark.createDataFrame([(1,), (7,)], "id int"), vocab)
     assert {(r["id"], r["token"]) for r in back.collect()} == {(1, "x"), (7, None)}
+
+
+def test_decode_arrays(spark):
+    known = ["[UNK]", "a", None, "b"]
+    df = spark.createDataFrame([(0, [1, 3, 1]), (1, []), (2, None), (3, [None, 9, -1, 2])], "k int, ids array<int>")
+    got = [r[0] for r in df.orderBy("k").select(V.decode_arrays(df["ids"], known)).collect()]
+    assert got == [["a", "b", "a"], [], None, [None] * 4]
+    deep = spark.createDataFrame([(0, [[1], [], None, [3, 0]]), (1, None)], "k int, ids array<array<int>>")
+    got = [r[0] for r in deep.orderBy("k").select(V.decode_arrays(deep["ids"], known, nested=True)).collect()]
+    assert got == [[["a"], [], None, ["b", "[UNK]"]], None]
+    assert V.token_list(spark.createDataFrame([(2, "x"), (0, "y")], "id int, token string")) == ["y", None, "x"]
+    assert V.token_list(spark.createDataFrame([], "id int, token string")) == []

@@ -38,22 +38,27 @@ GPT4 = "|".join(
         r"\s+",
     ]
 )
-_ENDING = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)?"
-_GPT4O_TAIL = [r"\p{N}{1,3}", r" ?[^\s\p{L}\p{N}]+[\r\n/]*", r"\s*[\r\n]+", r"\s+(?!\S)", r"\s+"]
 GPT4O = "|".join(
     [
-        r"[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]*[\p{Ll}\p{Lm}\p{Lo}\p{M}]+" + _ENDING,
-        r"[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]+[\p{Ll}\p{Lm}\p{Lo}\p{M}]*" + _ENDING,
-        *_GPT4O_TAIL,
+        r"[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]*[\p{Ll}\p{Lm}\p{Lo}\p{M}]+(?i:'s|'t|'re|'ve|'m|'ll|'d)?",
+        r"[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]+[\p{Ll}\p{Lm}\p{Lo}\p{M}]*(?i:'s|'t|'re|'ve|'m|'ll|'d)?",
+        r"\p{N}{1,3}",
+        r" ?[^\s\p{L}\p{N}]+[\r\n/]*",
+        r"\s*[\r\n]+",
+        r"\s+(?!\S)",
+        r"\s+",
     ]
 )
 #: The same with the line breaks that a broken literal puts into the word branches.
-_BREAK = "\\\n        "
 GPT4O_LITERAL = "|".join(
     [
-        _BREAK.join([r"[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]*", r"[\p{Ll}\p{Lm}\p{Lo}\p{M}]+", _ENDING]),
-        _BREAK.join([r"[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]+", r"[\p{Ll}\p{Lm}\p{Lo}\p{M}]*", _ENDING]),
-        *_GPT4O_TAIL,
+        "[^\\r\\n\\p{L}\\p{N}]?[\\p{Lu}\\p{Lt}\\p{Lm}\\p{Lo}\\p{M}]*\\\n        [\\p{Ll}\\p{Lm}\\p{Lo}\\p{M}]+\\\n        (?i:'s|'t|'re|'ve|'m|'ll|'d)?",
+        "[^\\r\\n\\p{L}\\p{N}]?[\\p{Lu}\\p{Lt}\\p{Lm}\\p{Lo}\\p{M}]+\\\n        [\\p{Ll}\\p{Lm}\\p{Lo}\\p{M}]*\\\n        (?i:'s|'t|'re|'ve|'m|'ll|'d)?",
+        r"\p{N}{1,3}",
+        r" ?[^\s\p{L}\p{N}]+[\r\n/]*",
+        r"\s*[\r\n]+",
+        r"\s+(?!\S)",
+        r"\s+",
     ]
 )
 BOUNDLESS = "|".join(
@@ -71,6 +76,23 @@ BOUNDLESS = "|".join(
         r"\p{M}+",
     ]
 )
+#: What `BOUNDLESS` matches, written without repeated groups, which take a stack frame for each
+#: letter. Digits come as whole runs; `split_boundless` cuts them into threes from the right.
+_ELISION = r" ?\p{L}[\p{L}\p{M}]*['’]\p{L}[\p{L}\p{M}]*|"
+_BOUNDLESS_RUNS = "|".join(
+    [
+        r"_\p{Ll}[\p{Ll}\p{M}]*",
+        r" ?\p{Lu}[\p{Lu}\p{M}]*(?=\p{Lu}\p{M}*\p{Ll})",
+        r" ?(?:\p{Lu}\p{M}*)?\p{Ll}[\p{Ll}\p{M}]*",
+        r" ?\p{Lu}[\p{Lu}\p{M}]*",
+        r" ?[\p{Lt}\p{Lm}\p{Lo}][\p{Lt}\p{Lm}\p{Lo}\p{M}]*",
+        r"\p{N}[\p{N}\p{M}]*",
+        r" ?[\p{P}\p{S}][\p{P}\p{S}\p{M}]*",
+        r"[^\S\r\n]*[\n\r]+|[^\S\r\n]+",
+        r"[\p{Z}\p{C}][\p{Z}\p{C}\p{M}]*",
+        r"\p{M}+",
+    ]
+)
 PUNCTUATION = "[" + "".join(f"\\{c}" for c in string.punctuation) + "]"
 
 PATTERNS = {"gpt2": GPT2, "gpt4": GPT4, "gpt4o": GPT4O, "gpt4o_literal": GPT4O_LITERAL, "boundless": BOUNDLESS, "punctuation": PUNCTUATION}
@@ -133,12 +155,38 @@ def span(alignment: Column, start: Column, end: Column) -> Column:
 
 # ------------------------------------------------------------- pre-tokenisation
 
+def _gaps(pattern: str) -> str:
+    """A run of characters at none of which ``pattern`` matches, with a step but no stack for each."""
+    return f"(?:(?!{pattern}).)++"
+
+
 def split_keep(text: Column, pattern: str) -> Column:
     """Matches of ``pattern`` and the gaps between them, in order; nothing is lost."""
-    both = f"(?Us)(?:{pattern})|(?:(?!{pattern}).)+"
+    if pattern == BOUNDLESS:
+        return split_boundless(text)
+    if pattern == PUNCTUATION:
+        both = f"(?U){pattern}|[^{pattern[1:-1]}]+"
+    else:
+        both = f"(?Us)(?:{pattern})|{_gaps(pattern)}"
     return F.filter(F.regexp_extract_all(text, F.lit(both), F.lit(0)), lambda t: t != "")
 
 
+def split_boundless(text: Column) -> Column:
+    """The tokens of `BOUNDLESS`, for runs of letters and digits of any length.
+
+    Only texts with an apostrophe are tried for words around one, as each try reads on to
+    the end of the letters.
+    """
+    plain, elided = (F.regexp_extract_all(text, F.lit(f"(?Us){p}{_BOUNDLESS_RUNS}"), F.lit(0)) for p in ("", _ELISION))
+    tokens = F.when(text.rlike("['’]"), elided).otherwise(plain)
+
+    def threes(run: Column) -> Column:  # read from the right, a sign after every third digit that others follow
+        signed = F.regexp_replace(F.reverse(run), r"(?U)((?:\p{M}*\p{N}){3})(?=.)", "$1\ue000")
+        return F.split(F.reverse(signed), "\ue000")
+
+    return F.flatten(F.transform(tokens, lambda t: F.when(t.rlike(r"^\p{N}"), threes(t)).otherwise(F.array(t))))
+
+
 def split_drop(text: Column, pattern: str) -> Column:
     """The gaps between the matches of ``pattern``."""
     return F.filter(F.split(text, f"(?U){pattern}", -1), lambda t: t != "")

@@ -10,9 +10,19 @@ def _literal(values) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
+#: Weights that a plan may hold as literals; larger layers come as columns or through a model.
+MOST_LITERALS = 100_000
+
+
+def _check(weights) -> None:
+    if len(weights) * len(weights[0] if len(weights) else ()) > MOST_LITERALS:
+        raise ValueError("too many weights for a plan; give them as array columns or use a model")
+
+
 def dense(x: Column, weights, biases) -> Column:
     """``weights`` (inputs x outputs) and ``biases`` are driver values or nested array columns."""
     if not isinstance(weights, Column):
+        _check(weights)
         weights = F.array(*[_literal(col) for col in zip(*weights, strict=True)])
         biases = _literal(biases)
     products = F.transform(weights, lambda w: F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
@@ -31,5 +41,7 @@ def bias_gradient(rows: DataFrame, dv: str) -> DataFrame:
 
 def input_gradient(dv: Column, weights) -> Column:
     """dv W**T for each row."""
+    if not isinstance(weights, Column):
+        _check(weights)
     rows = weights if isinstance(weights, Column) else F.array(*[_literal(r) for r in weights])
     return F.transform(rows, lambda w: F.aggregate(F.zip_with(dv, w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))

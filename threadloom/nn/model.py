@@ -22,6 +22,8 @@ from threadloom.nn.optimizers import Optimizer
 from threadloom.session import summed_blocks
 
 REGISTRY: dict[str, type] = {}
+#: Bytes of parameters that are sent to the tasks at most.
+MOST_BYTES = 256 << 20
 
 
 class Element:
@@ -289,7 +291,8 @@ class Model:
 
     def inference(self, rows: DataFrame, features: str = "features", output: str = "output") -> DataFrame:
         """Add the output array of each row, in Arrow batches; NULL features give NULL."""
-        model = self
+        self.check_size()
+        model = Model(self.elements)
 
         @F.pandas_udf("array<double>")
         def run(xs):
@@ -302,8 +305,15 @@ class Model:
 
         return rows.withColumn(output, run(F.col(features).cast("array<double>")))
 
+    def check_size(self) -> None:
+        """Parameters go out with every job; beyond `MOST_BYTES` they are too large for that."""
+        size = sum(v.nbytes for v in self.parameters().values())
+        if size > MOST_BYTES:
+            raise ValueError(f"{size} bytes of parameters are too many to send to every task")
+
     def _sums(self, n_batch: int) -> Callable:
-        model = self
+        self.check_size()
+        model = Model(self.elements, self.loss)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             loss, n, grads = 0.0, 0, None
@@ -332,10 +342,13 @@ class Model:
     def train(self, dataset: DataFrame, optimizer: Optimizer, epochs: int = 1, tracker=None, metrics=None, callback=None) -> list[float]:
         """Mean loss of each epoch over rows (batch, features, label), in batch order.
 
-        Each batch is one distributed sum and one update. After a batch the callback gets
+        Each batch is one distributed sum and one update. The rows are kept in the order of
+        their batches, so that a step skips the stored blocks of all other batches by their
+        bounds; a large batch lies in several partitions. After a batch the callback gets
         the outputs as a lazy frame; after an epoch the tracker gets loss and rate.
         """
-        data = dataset.select("batch", F.col("features").cast("array<double>").alias("features"), F.col("label").cast("array<double>").alias("label")).where("features IS NOT NULL AND label IS NOT NULL").cache()
+        data = dataset.select("batch", F.col("features").cast("array<double>").alias("features"), F.col("label").cast("array<double>").alias("label")).where("features IS NOT NULL AND label IS NOT NULL")
+        data = data.repartitionByRange("batch", F.xxhash64("features")).sortWithinPartitions("batch").cache()
         sizes = [(r["batch"], r["count"]) for r in data.groupBy("batch").count().orderBy("batch").collect()]
         losses = []
         for epoch in range(epochs):

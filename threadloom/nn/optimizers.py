@@ -102,9 +102,13 @@ class AdamW(Adam):
 
 @dataclass
 class Muon(Optimizer):
-    """Momentum whose matrices are made orthogonal by a Newton-Schulz iteration."""
+    """Momentum whose matrices are made orthogonal by a Newton-Schulz iteration.
 
-    learning_rate: float = 0.02
+    After the published algorithm (Jordan et al., 2024): the update of a matrix is replaced
+    by a polynomial approximation of its nearest orthogonal matrix.
+    """
+
+    learning_rate: float = 1.0
     mode: str = "moonlight"
     nesterov: bool = True
     steps: int = 5

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LARGEST = 2**31 - 1
 SCHEMA = "i int, j int, value double"
+RECORD = np.dtype([("i", "<i4"), ("j", "<i4"), ("value", "<f8")])
 
 
 def window_pairs(tokens: Column, window: int = 5, weighted: bool = True) -> Column:
@@ -63,13 +69,29 @@ def read(spark, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
 
 
-def batches(rows: DataFrame, batch_size: int = 100_000):
-    """Records in batches of at most ``batch_size`` on the driver, streamed one partition at a time."""
-    held: list = []
-    for row in rows.select("i", "j", "value").toLocalIterator(prefetchPartitions=True):
-        held.append(row)
-        if len(held) == batch_size:
-            yield held
-            held = []
-    if held:
+def count(rows: DataFrame) -> int:
+    return rows.count()
+
+
+def batches(rows: DataFrame, batch_size: int = 100_000) -> Iterator[np.ndarray]:
+    """Records on the driver in arrays of at most ``batch_size``, with the fields of `RECORD`.
+
+    Tasks pack their records into blocks of bytes, one row each, and the driver fetches one
+    partition after the other. NULL ids become -1 and NULL values NaN.
+    """
+
+    def pack_block(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            block = np.empty(part.num_rows, RECORD)
+            for name, missing in (("i", -1), ("j", -1), ("value", np.nan)):
+                block[name] = pc.fill_null(part[name], missing).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array([block.tobytes()], pa.binary())], names=["block"])
+
+    held = np.empty(0, RECORD)
+    for row in rows.select("i", "j", "value").mapInArrow(pack_block, "block binary").toLocalIterator(prefetchPartitions=True):
+        held = np.concatenate([held, np.frombuffer(bytes(row["block"]), RECORD)])
+        while len(held) >= batch_size:
+            yield held[:batch_size]
+            held = held[batch_size:]
+    if len(held):
         yield held

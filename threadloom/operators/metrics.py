@@ -53,13 +53,13 @@ def class_counts(cells: DataFrame, classes: int) -> DataFrame:
 
 
 def per_class(counts: DataFrame) -> DataFrame:
-    """All metrics of each class (or label) of (tp, fp, fn, tn)."""
-    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    """All metrics of each class (or label) of (tp, fp, fn, tn); products are formed as doubles."""
+    tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
     total = tp + fp + fn + tn
     p, r, spec = ratio(tp, tp + fp), ratio(tp, tp + fn), ratio(tn, tn + fp)
     expected = ratio((tp + fp) * (tp + fn) + (tn + fn) * (tn + fp), total * total)
     accuracy = ratio(tp + tn, total)
-    root = F.sqrt(((tp + fp).cast("double") * (tp + fn) * (tn + fp) * (tn + fn)))
+    root = F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
     return counts.select(
         *[c for c in counts.columns if c not in ("tp", "fp", "fn", "tn")], "tp", "fp", "fn", "tn",
         accuracy.alias("accuracy"), p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"),
@@ -79,10 +79,9 @@ def overall(counts: DataFrame) -> DataFrame:
 
     Raises nothing for an empty table: every value is 0.
     """
-    row, col = F.col("tp") + F.col("fn"), F.col("tp") + F.col("fp")
+    row, col = (F.col("tp").cast("double") + F.col(c) for c in ("fn", "fp"))
     s = counts.agg(
-        F.sum("tp").cast("double").alias("c"), F.sum(row).cast("double").alias("s"), F.sum((row * col).cast("double")).alias("pt"),
-        F.sum((col * col).cast("double")).alias("pp"), F.sum((row * row).cast("double")).alias("tt"),
+        F.sum("tp").cast("double").alias("c"), F.sum(row).alias("s"), F.sum(row * col).alias("pt"), F.sum(col * col).alias("pp"), F.sum(row * row).alias("tt"),
     )
     c, n, pt = F.col("c"), F.col("s"), F.col("pt")
     accuracy, expected = ratio(c, n), ratio(pt, n * n)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,10 +32,19 @@ class Tracker:
         return spark.createDataFrame(rows, "step int, metric string, value double")
 
 
+def _value(column: str = "value") -> Column:
+    """A value that is not a number is none: NaN counts as NULL."""
+    return F.nanvl(F.col(column), F.lit(None).cast("double"))
+
+
 def sampled(history: DataFrame, every: int) -> DataFrame:
-    return history.where(F.col("step") % every == 0)
+    """Rows of every nth step; NaN values become NULL."""
+    return history.where(F.col("step") % every == 0).withColumn("value", _value())
 
 
 def last_values(history: DataFrame, *keys: str) -> DataFrame:
-    """The value of the largest step of each group; of equal steps the largest value."""
-    return history.groupBy(*keys).agg(F.max(F.struct("step", "value")).alias("last")).select(*keys, "last.step", "last.value")
+    """The value of the largest step of each group; of equal steps the largest value.
+
+    NaN values count as NULL, and NULL is the smallest value.
+    """
+    return history.groupBy(*keys).agg(F.max(F.struct("step", _value().alias("value"))).alias("last")).select(*keys, "last.step", "last.value")

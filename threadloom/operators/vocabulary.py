@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +62,48 @@ def decode(ids: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return ids.join(vocabulary.select("id", "token"), "id", "left")
 
 
+#: Characters of a token list that is sent to the tasks; longer lists are joined (`decode`).
+MOST_CHARACTERS = 64 << 20
+
+
+def decode_arrays(ids: Column, tokens: list[str | None], nested: bool = False) -> Column:
+    """Arrays of tokens from arrays of ids, or arrays of arrays if ``nested``; places are kept.
+
+    NULL arrays and NULL ids stay NULL, ids outside the list give NULL. The list is checked
+    for its size; beyond it explode the ids and use `decode`.
+    """
+    if sum(len(t or "") for t in tokens) > MOST_CHARACTERS:
+        raise ValueError("the token list is too large to send to the tasks; use decode")
+    known = pa.array(tokens, pa.string())
+
+    def look_up(values: pa.Array) -> pa.Array:
+        inside = pc.and_(pc.greater_equal(values, 0), pc.less(values, len(known)))
+        return known.take(pc.if_else(inside, values, pa.scalar(None, values.type)))
+
+    def unwrap(arrays: pa.Array) -> pa.Array:
+        if not pa.types.is_list(arrays.type):
+            return look_up(arrays)
+        n = pc.fill_null(pc.list_value_length(arrays), 0).to_numpy(zero_copy_only=False)
+        values = unwrap(arrays.flatten())
+        offsets = pa.array(np.r_[0, np.cumsum(n)].astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, values, mask=pc.is_null(arrays)) if arrays.null_count else pa.ListArray.from_arrays(offsets, values)
+
+    @F.arrow_udf("array<array<string>>" if nested else "array<string>")
+    def run(arrays: pa.Array) -> pa.Array:
+        return unwrap(arrays)
+
+    return run(ids)
+
+
+def token_list(vocabulary: DataFrame) -> list[str | None]:
+    """The tokens by id, NULL for ids between that have none."""
+    rows = vocabulary.select("id", "token").collect()
+    out: list[str | None] = [None] * (max((r["id"] for r in rows), default=-1) + 1)
+    for r in rows:
+        out[r["id"]] = r["token"]
+    return out
+
+
 def contains(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return tokens.join(vocabulary.select("token"), "token", "left_semi")
 

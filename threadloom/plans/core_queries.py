@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.functions import aligned, sequences, text
+from threadloom.functions import aligned, places, sequences, text
 from threadloom.nn import activations, initializers, layers, losses, optimizers
 from threadloom.operators import cooccurrence, dataset, glove, metrics, tracker, vocabulary
 from threadloom.plans.pipeline import TokenizationPipeline
@@ -71,6 +71,31 @@ def norm_whitespace(spark, sf_dir):
     return rows.withColumn("text", text.collapse_blanks(F.col("text")))
 
 
+_BLANKS_END = f"([{_W2}])([\\t\\x{{0B}}\\x{{0C}} \\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}][^{_W2}])"
+
+
+def _gpt4_sql(expr: str, branches: list[str]) -> str:
+    """Tokens of a pattern with these word branches, for an engine without lookahead.
+
+    A sign of its own parts the last blank of a run from those before it where something
+    visible follows, unless that blank is a line break, which its own branch takes first.
+    """
+    marked = f"regexp_replace({expr}, '{_BLANKS_END}', '\\1' || chr(57344) || '\\2', 'g')"
+    pattern = "|".join([*branches, f"[{_W2}]+", "\\x{E000}"]).replace("'", "''")
+    return f"list_filter(regexp_extract_all({marked}, '{pattern}'), lambda t: t <> chr(57344))"
+
+
+_SEEN = f"[^{_W2}\\p{{L}}\\p{{N}}\\x{{E000}}]"
+_LEAD = "[^\\r\\n\\p{L}\\p{N}\\x{E000}]?"
+_BIG, _SMALL = "[\\p{Lu}\\p{Lt}\\p{Lm}\\p{Lo}\\p{M}]", "[\\p{Ll}\\p{Lm}\\p{Lo}\\p{M}]"
+_TAIL = "(?i:'s|'t|'re|'ve|'m|'ll|'d)?"
+_GPT4 = ["'(?i:[sdmt]|ll|ve|re)", f"{_LEAD}\\p{{L}}+", "\\p{N}{1,3}", f" ?{_SEEN}+[\\r\\n]*", f"[{_W2}]*[\\r\\n]"]
+_GPT4O_END = ["\\p{N}{1,3}", f" ?{_SEEN}+[\\r\\n/]*", f"[{_W2}]*[\\r\\n]+"]
+_GPT4O = [f"{_LEAD}{_BIG}*{_SMALL}+{_TAIL}", f"{_LEAD}{_BIG}+{_SMALL}*{_TAIL}", *_GPT4O_END]
+_BROKEN = "\\\n        "
+_GPT4O_LITERAL = [_BROKEN.join([f"{_LEAD}{_BIG}*", f"{_SMALL}+", _TAIL]), _BROKEN.join([f"{_LEAD}{_BIG}+", f"{_SMALL}*", _TAIL]), *_GPT4O_END, "\\p{L}+"]
+
+
 def _form(form: str):
     return lambda spark, sf_dir: _docs(spark, sf_dir).withColumn("text", text.unicode_form(F.col("text"), form))
 
@@ -85,11 +110,27 @@ def norm_marks(spark, sf_dir):
     return _docs(spark, sf_dir).withColumn("text", text.strip_marks(F.col("text")))
 
 
+@query("norm_accents_composed", "SELECT doc_id, strip_accents(text) AS text FROM documents")
+def norm_accents_composed(spark, sf_dir):
+    """Without marks of any kind, what remains composed again."""
+    bare = F.regexp_replace(text.unicode_form(F.col("text"), "NFD"), r"\p{M}", "")
+    return _docs(spark, sf_dir).withColumn("text", text.unicode_form(bare, "NFC"))
+
+
 @query("norm_accents")
 def norm_accents(spark, sf_dir):
     return _docs(spark, sf_dir).withColumn("text", text.strip_marks(text.unicode_form(F.col("text"), "NFD")))
 
 
+@query("norm_forms", "SELECT doc_id, nfc_normalize(text) AS nfc, nfc_normalize(text) AS nfd_composed, true AS nfkd_is_nfd_of_nfkc FROM documents WHERE text IS NOT NULL")
+def norm_forms(spark, sf_dir):
+    """The four forms of every text against each other: NFC of NFD is NFC, NFD of NFKC is NFKD."""
+    form = text.unicode_form
+    t = F.col("text")
+    same = form(form(t, "NFKC"), "NFD") == form(t, "NFKD")
+    return _docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", form(t, "NFC").alias("nfc"), form(form(t, "NFD"), "NFC").alias("nfd_composed"), same.alias("nfkd_is_nfd_of_nfkc"))
+
+
 @query("norm_replace", "SELECT doc_id, replace(text, 'token', 'TOKEN') AS text FROM documents")
 def norm_replace(spark, sf_dir):
     return _docs(spark, sf_dir).withColumn("text", text.replace_literal(F.col("text"), "token", "TOKEN"))
@@ -148,8 +189,48 @@ def _pattern(name: str):
     return lambda spark, sf_dir: _by_place(_docs(spark, sf_dir), text.split_keep(F.col("text"), text.PATTERNS[name]))
 
 
-for _name in ("gpt4", "gpt4o", "gpt4o_literal", "boundless"):
-    query(f"pretok_{_name}")(_pattern(_name))
+for _name, _branches in (("gpt4", _GPT4), ("gpt4o", _GPT4O), ("gpt4o_literal", _GPT4O_LITERAL)):
+    query(f"pretok_{_name}", _places(_gpt4_sql("text", _branches)))(_pattern(_name))
+query("pretok_boundless")(_pattern("boundless"))
+
+
+def _placed_sql(sql_tokens: str, where: str = "") -> str:
+    return f"""WITH t AS ({_places(sql_tokens)}), p AS (SELECT doc_id, pos, token,
+        (sum(length(token)) OVER (PARTITION BY doc_id ORDER BY pos) - length(token))::INT AS "start" FROM t)
+        SELECT doc_id, token, "start", ("start" + length(token))::INT AS "end" FROM p {where}"""
+
+
+def _placed(rows: DataFrame, tokens: Column) -> DataFrame:
+    return rows.select("doc_id", F.explode(tokens).alias("t")).select("doc_id", "t.token", "t.start", "t.end")
+
+
+@query("pretok_places", _placed_sql(_gpt2_sql("text")))
+def pretok_places(spark, sf_dir):
+    return _placed(_docs(spark, sf_dir), places.placed(text.split_keep(F.col("text"), text.GPT2)))
+
+
+@query("pretok_whitespace_places", _placed_sql(f"regexp_extract_all(text, '[{_W2}]+|[^{_W2}]+')", f"WHERE NOT regexp_full_match(token, '[{_W2}]+')"))
+def pretok_whitespace_places(spark, sf_dir):
+    words = places.placed_where(text.split_keep(F.col("text"), r"\s+"), lambda t: ~t.rlike(r"(?U)^\s"))
+    return _placed(_docs(spark, sf_dir), words)
+
+
+@query(
+    "pretok_punct_places",
+    _placed_sql("regexp_extract_all(text, '[[:punct:]]|[^[:punct:]]+')"),
+)
+def pretok_punct_places(spark, sf_dir):
+    return _placed(_docs(spark, sf_dir), places.placed(text.split_punctuation(F.col("text"))))
+
+
+@query(
+    "pretok_bytelevel_places",
+    """WITH c AS (SELECT doc_id, unnest(range(length(text))) AS k, unnest(regexp_extract_all(text, '(?s).')) AS c FROM documents WHERE text <> ''),
+    b AS (SELECT doc_id, k, unnest(range(octet_length(encode(c)))) AS j FROM c)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k, j) - 1)::INT AS pos, k::INT AS place FROM b""",
+)
+def pretok_bytelevel_places(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(places.byte_places(F.col("text"))).alias("pos", "place"))
 
 _LETTERS = "[" + ", ".join(f"chr({ord(c)})" for c in text.byte_alphabet()) + "]"
 
@@ -212,6 +293,17 @@ def vocab_decode(spark, sf_dir):
     return vocabulary.decode(rows, table(spark, sf_dir, "vocabulary")).select("sentence_id", "pos", "token")
 
 
+@query(
+    "vocab_decode_arrays",
+    """WITH v AS (SELECT list(token ORDER BY id) AS v FROM (SELECT r.id, token FROM range((SELECT max(id) + 1 FROM vocabulary)) r(id) LEFT JOIN vocabulary USING (id)))
+       SELECT sentence_id, len(tokens)::INT AS n, array_to_string(list_transform(tokens, lambda t: coalesce(CASE WHEN t >= 0 THEN v[t + 1] END, '?')), ' ') AS tokens FROM processed, v WHERE tokens IS NOT NULL""",
+)
+def vocab_decode_arrays(spark, sf_dir):
+    known = vocabulary.token_list(table(spark, sf_dir, "vocabulary"))
+    rows = table(spark, sf_dir, "processed").where("tokens IS NOT NULL").withColumn("t", vocabulary.decode_arrays(F.col("tokens"), known))
+    return rows.select("sentence_id", F.size("t").alias("n"), F.array_join("t", " ", "?").alias("tokens"))
+
+
 @query("vocab_contains", f"WITH {_WORDS} SELECT word AS token, freq FROM words WHERE word IN (SELECT token FROM vocabulary)")
 def vocab_contains(spark, sf_dir):
     return vocabulary.contains(_words(spark, sf_dir).withColumnRenamed("word", "token"), table(spark, sf_dir, "vocabulary"))
@@ -236,7 +328,7 @@ def word_count(spark, sf_dir):
 
 @query("merge_budget", f"WITH {_WORDS} SELECT floor(count(*) * 0.35)::INT AS merges FROM words")
 def merge_budget(spark, sf_dir):
-    return _words(spark, sf_dir).agg(F.floor(F.count(F.lit(1)) * 0.35).cast("int").alias("merges"))
+    return spark.createDataFrame([(W.merge_budget(_words(spark, sf_dir), 0.35),)], "merges int")
 
 
 @query("alphabet", f"WITH {_WORDS} SELECT DISTINCT unnest(regexp_extract_all(word, '(?s).')) AS char FROM words")
@@ -297,6 +389,23 @@ def bpe_tokenize(spark, sf_dir):
     return _words(spark, sf_dir).select("word", F.array_join(_fixed_bpe().replay(F.col("word")), " ").alias("subtokens"))
 
 
+@query(
+    "bpe_places",
+    f"""WITH t AS ({_placed_sql(f"regexp_extract_all(text, '[{_W2}]+|[^{_W2}]+')", f"WHERE NOT regexp_full_match(token, '[{_W2}]+')")}),
+    w AS (SELECT doc_id, "start" AS s, {_replay_sql().replace("word", "token")} AS ts FROM t),
+    p AS (SELECT doc_id, s, (unnest(range(len(ts)::BIGINT)))::INT AS pos, unnest(ts) AS token FROM w),
+    q AS (SELECT *, length(regexp_replace(token, '</s>$', '')) AS n FROM p)
+    SELECT doc_id, token, (s + sum(n) OVER (PARTITION BY doc_id, s ORDER BY pos) - n)::INT AS "start", (s + sum(n) OVER (PARTITION BY doc_id, s ORDER BY pos))::INT AS "end" FROM q""",
+)
+def bpe_places(spark, sf_dir):
+    tokens = text.split_keep(F.col("text"), r"\s+")
+    rows = _docs(spark, sf_dir).select("doc_id", tokens.alias("tokens")).where("tokens IS NOT NULL")
+    parts = _fixed_bpe().tokenize(F.col("tokens"))
+    placed = places.placed_subtokens(F.col("tokens"), F.transform(parts, lambda t: t["subtokens"]))
+    words = F.filter(F.arrays_zip(F.col("tokens").alias("w"), placed.alias("p")), lambda x: ~x["w"].rlike(r"(?U)^\s"))
+    return _placed(rows.select("doc_id", words.alias("z")), F.flatten(F.transform("z", lambda x: x["p"])))
+
+
 _BPE_IDS = "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in _fixed_bpe().vocabulary) + "]"
 
 
@@ -321,6 +430,12 @@ def wp_train(spark, sf_dir):
     return WordPiece.fit(_words(spark, sf_dir)).vocabulary_frame(spark)
 
 
+@query("wp_encode")
+def wp_encode(spark, sf_dir):
+    words = materialise(_words(spark, sf_dir))
+    return words.select("word", WordPiece.fit(words).encode(F.array("word")).alias("ids"))
+
+
 @query("wp_tokenize")
 def wp_tokenize(spark, sf_dir):
     words = materialise(_words(spark, sf_dir))
@@ -334,6 +449,13 @@ def bpe_dropout_roundtrip(spark, sf_dir):
     return _words(spark, sf_dir).select("word", F.array_join(parts, "").alias("joined"))
 
 
+@query("bpe_dropout")
+def bpe_dropout(spark, sf_dir):
+    """The parts of every word of the corpus by the fitted model with dropout."""
+    words = materialise(_words(spark, sf_dir))
+    return words.select("word", F.get(BPE.fit(words).tokenize(F.array("word"), key=F.col("word"), dropout=0.3, seed=7), F.lit(0))["subtokens"].alias("subtokens"))
+
+
 # ------------------------------------------------------------ post-processing
 
 def _processed(spark, sf_dir) -> DataFrame:
@@ -414,9 +536,26 @@ def cooc_unweighted(spark, sf_dir):
     return cooccurrence.cooccurrence(_processed(spark, sf_dir), weighted=False).withColumn("value", F.round("value", 6))
 
 
-@query("cooc_shuffle", "SELECT i, j, value FROM cooccurrence")
+@query("cooc_shuffle", "SELECT i, j, CASE WHEN NOT isnan(value) THEN value END AS value FROM cooccurrence")
 def cooc_shuffle(spark, sf_dir):
-    return cooccurrence.shuffle_rows(table(spark, sf_dir, "cooccurrence").select("i", "j", "value"), seed=3)
+    """All records in another order; NaN values, which equal nothing, are shown as NULL."""
+    rows = table(spark, sf_dir, "cooccurrence").select("i", "j", F.nanvl("value", F.lit(None).cast("double")).alias("value"))
+    return cooccurrence.shuffle_rows(rows, seed=3)
+
+
+@query("cooc_count", "SELECT count(*) AS n FROM cooccurrence WHERE i >= 0 AND j >= 0")
+def cooc_count(spark, sf_dir):
+    n = cooccurrence.count(table(spark, sf_dir, "cooccurrence").where("i >= 0 AND j >= 0"))
+    return spark.createDataFrame([(n,)], "n bigint")
+
+
+@query("cooc_iterate", "SELECT count(*) AS n, sum(i)::BIGINT AS sum_i, sum(j)::BIGINT AS sum_j FROM cooccurrence WHERE i >= 0 AND j >= 0")
+def cooc_iterate(spark, sf_dir):
+    """Sums over all records as the driver receives them batch by batch."""
+    n = i = j = 0
+    for block in cooccurrence.batches(table(spark, sf_dir, "cooccurrence").where("i >= 0 AND j >= 0")):
+        n, i, j = n + len(block), i + int(block["i"].sum(dtype="int64")), j + int(block["j"].sum(dtype="int64"))
+    return spark.createDataFrame([(n, i, j)], "n bigint, sum_i bigint, sum_j bigint")
 
 
 @query("cooc_pack", "SELECT i, j, (i::BIGINT << 32) | j::BIGINT AS code, i AS i_back, j AS j_back FROM cooccurrence WHERE i >= 0 AND j >= 0")
@@ -445,7 +584,7 @@ def _formula_params(vocab: DataFrame) -> DataFrame:
 _P = "SELECT id AS token_id, " + ", ".join(f"sin(id * 4 + {c}) / 8 AS w{c}, sin(id * 4 + {c} + 1) / 8 AS c{c}" for c in range(4)) + ", sin(id * 1.0) / 8 AS b, cos(id * 1.0) / 8 AS bc FROM vocabulary"
 _DIFF = " + ".join(f"p.w{c} * q.c{c}" for c in range(4)) + " + p.b + q.bc - ln(value)"
 _RESIDUAL = f"""WITH params AS ({_P}), rows AS (SELECT i, j, value, CASE WHEN value < 100 THEN pow(value / 100, 0.75) ELSE 1 END AS f, {_DIFF} AS diff,
-    {", ".join(f"q.c{c} AS c{c}" for c in range(4))} FROM cooccurrence JOIN params p ON i = p.token_id JOIN params q ON j = q.token_id WHERE value > 0 AND NOT isnan(value))"""
+    {", ".join(f"q.c{c} AS c{c}, p.w{c} AS w{c}" for c in range(4))} FROM cooccurrence JOIN params p ON i = p.token_id JOIN params q ON j = q.token_id WHERE value > 0 AND NOT isnan(value))"""
 
 
 @query("glove_one_step_loss", _RESIDUAL + " SELECT i, round(sum(f * diff * diff), 5) AS loss, count(*) AS n FROM rows GROUP BY i")
@@ -465,15 +604,31 @@ def glove_group_grad(spark, sf_dir):
     return glove.grouped_sums(rows, "i", "v", "g").withColumns({c: F.round(c, 5) for c in ("total", "total_sq")})
 
 
-@query(
-    "glove_step",
-    _RESIDUAL + """, s AS (SELECT i, sum(2 * f * diff * c0) AS t0, sum((2 * f * diff * c0) * (2 * f * diff * c0)) AS q0, sum(2 * f * diff) AS tb, sum(4 * f * f * diff * diff) AS qb FROM rows GROUP BY i)
-    SELECT token_id, round(CASE WHEN t0 IS NULL THEN w0 ELSE w0 - 0.05 * t0 / sqrt(1 + q0) END, 5) AS w0, round(CASE WHEN tb IS NULL THEN b ELSE b - 0.05 * tb / sqrt(1 + qb) END, 5) AS b
-    FROM params LEFT JOIN s ON token_id = i""",
-)
+def _glove_sides() -> str:
+    """SQL of the sums of both sides of a step, all dimensions and the bias."""
+
+    def side(key: str, index: str, other: str, name: str) -> str:
+        grads = [(f"{k}", f"2 * f * diff * {other}{k}") for k in range(4)] + [("b", "2 * f * diff")]
+        sums = ", ".join(f"sum({g}) AS t{k}, sum(({g}) * ({g})) AS q{k}" for k, g in grads)
+        return f"{name} AS (SELECT {index} AS {key}, {sums} FROM rows GROUP BY {index})"
+
+    return ", " + side("ti", "i", "c", "si") + ", " + side("tj", "j", "w", "sj")
+
+
+def _glove_moved() -> str:
+    out = []
+    for value, t, p, name, acc in [(f"w{k}", f"t{k}", "si", f"w{k}", f"gw{k}") for k in range(4)] + [("b", "tb", "si", "b", "gb")] + [(f"c{k}", f"t{k}", "sj", f"wc{k}", f"gwc{k}") for k in range(4)] + [("bc", "tb", "sj", "bc", "gbc")]:
+        q = f"{p}.q{t[1:]}"
+        out.append(f"round(CASE WHEN {p}.{t} IS NULL THEN {value} ELSE {value} - 0.05 * {p}.{t} / sqrt(1 + {q}) END, 5) AS {name}, round(1 + coalesce({q}, 0), 4) AS {acc}")
+    return ", ".join(out)
+
+
+@query("glove_step", _RESIDUAL + _glove_sides() + f" SELECT token_id, {_glove_moved()} FROM params LEFT JOIN si ON token_id = ti LEFT JOIN sj ON token_id = tj")
 def glove_step(spark, sf_dir):
+    """All parameters and accumulators after one step, both sides."""
     new = glove.step(table(spark, sf_dir, "cooccurrence").select("i", "j", "value"), _formula_params(table(spark, sf_dir, "vocabulary")))
-    return new.select("token_id", F.round(F.get("w", F.lit(0)), 5).alias("w0"), F.round("b", 5).alias("b"))
+    cells = [F.round(F.get(c, F.lit(k)), d).alias(f"{c}{k}") for c, d in (("w", 5), ("gw", 4), ("wc", 5), ("gwc", 4)) for k in range(4)]
+    return new.select("token_id", *cells, *[F.round(c, d).alias(c) for c, d in (("b", 5), ("bc", 5), ("gb", 4), ("gbc", 4))])
 
 
 @query("glove_train")
@@ -702,19 +857,32 @@ def init_bounds(spark, sf_dir):
     return out
 
 
-@query("model_inference")
-def model_inference(spark, sf_dir):
-    from threadloom.nn.model import Model, NLayer, ReLU, Softmax
+def _network():
+    from threadloom.nn.model import CategoricalCrossEntropy, Model, NLayer, ReLU, Softmax
+
+    return Model([NLayer(64, 16, initializers.HeKaiming(seed=1)), ReLU(), NLayer(16, 10, initializers.XavierGlorot(seed=2)), Softmax()], CategoricalCrossEntropy())
 
-    model = Model([NLayer(64, 16, initializers.HeKaiming(seed=1)), ReLU(), NLayer(16, 10, initializers.XavierGlorot(seed=2)), Softmax()])
-    return model.inference(_vectors(spark, sf_dir).withColumnRenamed("x", "features")).select("vec_id", "output")
+
+def _layer_sql(x: str, weights, biases) -> str:
+    columns = (f"list_dot_product({x}, [{', '.join(map(repr, map(float, w)))}]::DOUBLE[]) + {float(b)!r}" for w, b in zip(weights.T, biases[0], strict=True))
+    return "[" + ", ".join(columns) + "]"
+
+
+def _inference_sql() -> str:
+    first, _, second, _ = _network().elements
+    hidden = f"list_transform({_layer_sql('x', first.weights, first.biases)}, lambda v: greatest(v, 0))"
+    return f"""{_FLAT} (SELECT vec_id, {_SOFT.format(v='z')} AS y FROM (SELECT vec_id, {_layer_sql('h', second.weights, second.biases)} AS z FROM (SELECT vec_id, {hidden} AS h FROM ({_E}))))"""
+
+
+@query("model_inference", _inference_sql())
+def model_inference(spark, sf_dir):
+    rows = _network().inference(_vectors(spark, sf_dir).withColumnRenamed("x", "features"))
+    return _cells(rows, F.col("output"))
 
 
 @query("model_train")
 def model_train(spark, sf_dir):
-    from threadloom.nn.model import CategoricalCrossEntropy, Model, NLayer, ReLU, Softmax
-
-    model = Model([NLayer(64, 16, initializers.HeKaiming(seed=1)), ReLU(), NLayer(16, 10, initializers.XavierGlorot(seed=2)), Softmax()], CategoricalCrossEntropy())
+    model = _network()
     rows = dataset.batches(_vectors(spark, sf_dir), "vec_id", 250).select("batch", F.col("x").alias("features"), F.array("label").alias("label"))
     history = model.train(rows, optimizers.Adam(0.01), epochs=2)
     return spark.createDataFrame(list(enumerate(map(float, history))), "epoch int, loss double")
@@ -743,14 +911,15 @@ def dataset_length(spark, sf_dir):
     return table(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("tracker_every", "SELECT run_id, step, metric, class_id, value FROM metric_history WHERE step % 100 = 0")
+@query("tracker_every", "SELECT run_id, step, metric, class_id, CASE WHEN NOT isnan(value) THEN value END AS value FROM metric_history WHERE step % 100 = 0")
 def tracker_every(spark, sf_dir):
     return tracker.sampled(table(spark, sf_dir, "metric_history"), 100).select("run_id", "step", "metric", "class_id", "value")
 
 
 @query(
     "tracker_last",
-    """SELECT run_id, metric, class_id, step, value FROM (SELECT *, row_number() OVER (PARTITION BY run_id, metric, class_id ORDER BY step DESC, value DESC NULLS LAST) AS rn FROM metric_history) WHERE rn = 1""",
+    """WITH h AS (SELECT run_id, metric, class_id, step, CASE WHEN NOT isnan(value) THEN value END AS value FROM metric_history)
+       SELECT run_id, metric, class_id, step, value FROM (SELECT *, row_number() OVER (PARTITION BY run_id, metric, class_id ORDER BY step DESC, value DESC NULLS LAST) AS rn FROM h) WHERE rn = 1""",
 )
 def tracker_last(spark, sf_dir):
     return tracker.last_values(table(spark, sf_dir, "metric_history"), "run_id", "metric", "class_id")

@@ -20,7 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session that names none (tests, a laptop) gets a temporary one.
+    Only a session inside one process (tests, a laptop) that names none gets a temporary
+    one; on a cluster such a folder would exist on one machine only, so that is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -28,6 +29,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(named)
     elif sc.getCheckpointDir() is None:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="threadloom-checkpoint-"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.operators.vocabulary import SPECIAL
+from threadloom.session import materialise
 from threadloom.subword import words as W
 from threadloom.subword.training import train_merges
 
@@ -32,23 +33,28 @@ class SubwordModel(ABC):
     @abstractmethod
     def split(self, word: str, draw: Callable[[], float] | None = None) -> list[str]: ...
 
+    def fingerprint(self) -> int:
+        """Equal models have equal fingerprints."""
+        return xxhash.xxh64_intdigest(repr((type(self).__name__, self.vocabulary, getattr(self, "merges", None), getattr(self, "longest_word", None))))
+
     def ids(self) -> dict[str, int]:
         return {t: k for k, t in enumerate(self.vocabulary)}
 
     def tokenize(self, tokens: Column, key: Column | None = None, dropout: float = 0.0, seed: int = 0) -> Column:
         """array of struct(subtokens, ids), one for each pre-token of an array column.
 
-        Workers keep the splits of the words they have seen. With ``dropout`` every
+        A worker process keeps the splits of the words it has seen, for all batches and
+        tasks of the same model, up to `CACHE` words. With ``dropout`` every
         possible merge is left out with that probability; the draws come from a hash of
         ``seed``, ``key`` and the word's place, so a lost task repeats them.
         """
         if dropout and key is None:
             raise ValueError("dropout needs a key column to draw from")
-        model, ids = self, self.ids()
+        model, ids, mark = self, self.ids(), self.fingerprint()
 
         @F.pandas_udf(_RESULT)
         def run(arrays: pd.Series, keys: pd.Series) -> pd.Series:
-            cache: dict[str, tuple[list[str], list[int]]] = {}
+            cache = _cache_of(mark)
 
             def one(word: str, key, place: int):
                 if dropout:
@@ -86,6 +92,17 @@ def _start_vocabulary(words: DataFrame, mark: str, special: dict[str, str]) -> l
     return list(dict.fromkeys([*special.values(), *chars, mark]))
 
 
+#: Splits by model, kept by a worker process; those of one model at a time.
+_CACHES: dict[int, dict[str, tuple[list[str], list[int]]]] = {}
+
+
+def _cache_of(mark: int) -> dict[str, tuple[list[str], list[int]]]:
+    if mark not in _CACHES:
+        _CACHES.clear()
+        _CACHES[mark] = {}
+    return _CACHES[mark]
+
+
 @dataclass
 class BPE(SubwordModel):
     """Byte-pair model: merges in order, applied by lowest rank first."""
@@ -100,6 +117,7 @@ class BPE(SubwordModel):
     @classmethod
     def fit(cls, words: DataFrame, merges: float = 0.35, special: dict[str, str] = SPECIAL, **kwargs) -> BPE:
         """Fit on (word, freq). The alphabet is as small as the characters of the corpus."""
+        words = materialise(words)
         found = train_merges(words, merges, "bpe", **kwargs)
         start = _start_vocabulary(words, W.BPE_END, special)
         return cls(list(dict.fromkeys([*start, *(a + b for a, b in found)])), found)
@@ -159,6 +177,7 @@ class WordPiece(SubwordModel):
 
     @classmethod
     def fit(cls, words: DataFrame, merges: float = 0.35, special: dict[str, str] = SPECIAL, **kwargs) -> WordPiece:
+        words = materialise(words)
         found = train_merges(words, merges, "piece", **kwargs)
         start = _start_vocabulary(words, W.PIECE_START, special)
         return cls(list(dict.fromkeys([*start, *(a + b for a, b in found)])))

@@ -8,6 +8,7 @@ Larger tables stay distributed, with one aggregate and one rewrite for each merg
 
 from __future__ import annotations
 
+import heapq
 from array import array
 
 import numpy as np
@@ -35,6 +36,7 @@ class _Corpus:
         self.names: list[str] = []
         self.number: dict[str, int] = {}
         self.kind = kind
+        self.heap: list[tuple[int, str, str]] = []
         self.single = np.zeros(1024, np.int64)
         self.slots: dict[tuple[int, int], int] = {}
         self.free: list[int] = []
@@ -91,16 +93,29 @@ class _Corpus:
                 del self.slots[p]
                 self.where[k] = array("l")
                 self.free.append(k)
+            elif self.kind == "bpe" and n:
+                heapq.heappush(self.heap, (-int(self.count[k]), self.names[p[0]], self.names[p[1]]))
 
     def best(self) -> tuple[str, str] | None:
-        """The pair with the best score; of ties the smallest in code point order."""
+        """The pair with the best score; of ties the smallest in code point order.
+
+        Counts lie in a heap with an entry for each value a pair has had; entries that are
+        no longer true are dropped when they come up.
+        """
+        if self.kind == "bpe":
+            while self.heap:
+                n, left, right = self.heap[0]
+                k = self.slots.get((self.number[left], self.number[right]))
+                if k is not None and self.count[k] == -n:
+                    return left, right
+                heapq.heappop(self.heap)
+            return None
         if not self.slots:
             return None
         used = len(self.where)
         score = self.count[:used].astype(float)
-        if self.kind == "piece":
-            product = self.single[self.left[:used]].astype(float) * self.single[self.right[:used]]
-            score = np.divide(score, product, out=np.zeros(used), where=score > 0)
+        product = self.single[self.left[:used]].astype(float) * self.single[self.right[:used]]
+        score = np.divide(score, product, out=np.zeros(used), where=score > 0)
         ties = np.flatnonzero(score == score.max())
         return min((self.names[self.left[k]], self.names[self.right[k]]) for k in ties)
 
