@@ -23,6 +23,8 @@ from threadloom.session import finite, shuffle_width
 
 CHUNK_ROWS = 1 << 20
 FAN_IN = 16
+#: States a task holds; beyond it passes them on, so its memory does not grow with the keys.
+HELD_STATES = 1 << 22
 
 _STATE = "side int, key bigint, block bigint, slot int, n bigint, total double, partners binary"
 _ARROW = pa.schema(
@@ -94,31 +96,39 @@ def _sorted(t: pa.Table) -> pa.Table:
 def _local_states(chunk_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot = TaskContext.get().partitionId()
-        state: pa.Table | None = None
+        runs: list[pa.Table] = []
         waiting: list[pa.RecordBatch] = []
         rows = 0
 
         def flush() -> None:
-            nonlocal state, waiting, rows
+            nonlocal waiting, rows
             t = pa.Table.from_batches(waiting)
             i = t["i"].to_numpy().astype(np.int64)
             j = t["j"].to_numpy().astype(np.int64)
             v = t["value"].to_numpy()
             parts = [_states(0, i, j, v, slot), _states(1, j, i, v, slot)]
-            t = _sorted(pa.concat_tables([*parts, *([state] if state is not None else [])]))
-            state = _combine(t, np.flatnonzero(np.r_[True, ~_same(t)]))
+            runs.append(_sorted(pa.concat_tables(parts)))  # (side, key, block) are distinct within a chunk
+            while len(runs) > 1 and runs[-2].num_rows <= 2 * runs[-1].num_rows:
+                t = _sorted(pa.concat_tables(runs[-2:]))
+                runs[-2:] = [_combine(t, np.flatnonzero(np.r_[True, ~_same(t)]))]
             waiting, rows = [], 0
 
+        def passed_on() -> Iterator[pa.RecordBatch]:
+            for run in runs:
+                yield from run.combine_chunks().to_batches()
+            runs.clear()
+
         for batch in batches:
             if batch.num_rows:
                 waiting.append(batch)
                 rows += batch.num_rows
             if rows >= chunk_rows:
                 flush()
+                if sum(r.num_rows for r in runs) > HELD_STATES:
+                    yield from passed_on()
         if rows:
             flush()
-        if state is not None:
-            yield from state.combine_chunks().to_batches()
+        yield from passed_on()
 
     return run
 
@@ -136,22 +146,25 @@ def _count_partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         )
 
 
-def tree_profile(records: DataFrame, chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN) -> DataFrame:
+def tree_profile(records: DataFrame, chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN, tasks: int | None = None) -> DataFrame:
     """(side, token_id, n_records, total_value, n_partners) of every key of both sides.
 
     ``records`` has distinct (sentence_id, i, j) with a value, e.g. of `valid_records`.
     NULL, NaN, infinite and negative values count as records and add 0 to the sum.
 
-    Round 0 combines rows inside each task; round r brings the states of ``fan_in``
+    Round 0 combines rows inside each task: every chunk gives a run of sorted states, and
+    runs of similar size are merged, so a state is sorted again a logarithmic number of
+    times. Round r brings the states of ``fan_in``
     neighbouring nodes together, so a task reads at most ``fan_in`` states of a key and
     block, and log_fan_in(tasks) rounds are needed. Partner sets are compressed bitmaps
     in blocks of 65,536, so a state is at most 8 KiB however many partners a key has; the
     blocks of a key are merged apart and their counts are added at the end.
-    An empty table gives no rows.
+    An empty table gives no rows. ``tasks`` is the number of partitions of ``records`` if
+    they do not come from a shuffle of the session's width.
     """
     rows = records.select(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), finite(F.col("value")).alias("value"))
     states = rows.mapInArrow(_local_states(chunk_rows), _STATE)
-    rounds = max(1, math.ceil(math.log(max(shuffle_width(records.sparkSession), 2), fan_in)))
+    rounds = max(1, math.ceil(math.log(max(shuffle_width(records.sparkSession), tasks or 0, 2), fan_in)))
     for r in range(1, rounds + 1):
         states = (
             states.withColumn("slot", F.floor(F.col("slot") / fan_in).cast("int") if r < rounds else F.lit(0))
