@@ -28,8 +28,8 @@ class _Corpus:
     """The symbol numbers of all words, the counts of their pairs and where each pair stands.
 
     Pairs lie in slots of arrays, so the best one is found by one pass over numbers. A
-    merge visits only the words listed for its pair and adds the difference of their
-    counts. The lists only grow while a pair lives; words that no longer hold it are skipped.
+    merge visits only the words listed for its pair and changes the counts of the pairs
+    beside each merged place. The lists only grow while a pair lives; words that no longer hold it are skipped.
     """
 
     def __init__(self, words: list[str], freqs: list[int], kind: str) -> None:
@@ -120,33 +120,52 @@ class _Corpus:
         return min((self.names[self.left[k]], self.names[self.right[k]]) for k in ties)
 
     def merge(self, pair: tuple[str, str]) -> None:
-        """Replace the pair from left to right; occurrences do not overlap."""
+        """Replace the pair from left to right; occurrences do not overlap.
+
+        Between two neighbouring occurrences the second changes the pair that joins them.
+        """
         a, b = self.number[pair[0]], self.number[pair[1]]
         new = self.id(pair[0] + pair[1])
         pairs: dict[tuple[int, int], int] = {}
         places: dict[tuple[int, int], array] = {}
+
+        def change(p: tuple[int, int], n: int) -> None:
+            pairs[p] = pairs.get(p, 0) + n
+
         for k in set(self.where[self.slots[a, b]]):
             old, n = self.words[k], self.freq[k]
-            word: list[int] = []
-            at = 0
-            while at < len(old):
-                if old[at] == a and at + 1 < len(old) and old[at + 1] == b:
-                    word.append(new)
-                    at += 2
-                else:
-                    word.append(old[at])
+            size, word, last, at, merged = len(old), [], 0, 0, 0
+            while True:
+                try:
+                    at = old.index(a, at)
+                except ValueError:
+                    break
+                if at + 1 == size:
+                    break
+                if old[at + 1] != b:
                     at += 1
-            if len(word) == len(old):
+                    continue
+                word += old[last:at]
+                change((a, b), -n)
+                made = []
+                if at:
+                    change((old[at - 1], a), -n)
+                    made.append((word[-1], new))
+                last = at + 2
+                if last < size and (old[last] != a or last + 1 == size or old[last + 1] != b):
+                    change((b, old[last]), -n)
+                    made.append((new, old[last]))
+                for p in made:
+                    change(p, n)
+                    places.setdefault(p, array("l")).append(k)
+                word.append(new)
+                at, merged = last, merged + n
+            if not merged:
                 continue
-            merged = (len(old) - len(word)) * n
             self.single[a] -= merged
             self.single[b] -= merged
             self.single[new] += merged
-            self._tally(old, -n, pairs)
-            self._tally(word, n, pairs)
-            for p in set(zip(word, word[1:], strict=False)).difference(zip(old, old[1:], strict=False)):
-                places.setdefault(p, array("l")).append(k)
-            self.words[k] = word
+            self.words[k] = word + old[last:]
         self._apply(pairs, places)
 
 
