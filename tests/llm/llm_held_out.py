@@ -1,4 +1,8 @@
-"""Sentences written for the tests only, with their mentions as <type:text>."""
+"""Sentences written apart from the tables, with their mentions as <type:text>.
+
+Name and address rules were changed after the first runs on them, so they are a check, not
+an untouched measure.
+"""
 
 HELD_OUT = """
 Please forward the parcel to <name:Margaret Ellsworth> before noon.

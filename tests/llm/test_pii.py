@@ -124,7 +124,8 @@ def held_out(spark):
     return model, {tuple(r) for r in pii.find_personal(df, model, names, proposals).collect() if r["id"] >= 10**7}, truth
 
 
-def test_sentences_no_pattern_was_written_for(spark):
+def test_sentences_unlike_the_tables(spark):
+    # written apart from the tables, but name rules were changed after first runs on them
     _, got, want = held_out(spark)
     for kind in pii.TYPES:
         g, w = ({x for x in s if x[1] == kind} for s in (got, want))
