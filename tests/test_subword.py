@@ -59,6 +59,37 @@ def test_distributed_training_gives_the_same_merges(spark, kind):
     assert training.train_merges(df, 4, kind, driver_words=3) == plain_merges(counts, 4, kind)
 
 
+def test_flat_arrays_equal_recounting(monkeypatch):
+    """Places one by one and by array operations, with an index built in several stretches."""
+    for many, stretch in ((1, 7), (4, 1 << 21), (1 << 30, 50)):
+        monkeypatch.setattr(training._Corpus, "MANY", many)
+        monkeypatch.setattr(training._Corpus, "STRETCH", stretch)
+        for seed in range(12):
+            rng = random.Random(seed)
+            letters = rng.choice(["ab", "aabc", "</s>b", "aé漢😀"])
+            counts = {"".join(rng.choice(letters) for _ in range(rng.randrange(0, 14))): rng.choice([1, 2, 900]) for _ in range(60)}
+            for kind in ("bpe", "piece"):
+                state, got = training._Corpus(list(counts), list(counts.values()), kind), []
+                while len(got) < 50 and (p := state.best()):
+                    state.merge(p)
+                    got.append(p)
+                assert got == plain_merges(counts, 50, kind)
+
+
+def jobs_of_training(spark, kind):
+    """Spark jobs that 30 merges over 550,000 distinct words take."""
+    df = spark.range(550_000).select(F.lower(F.conv(F.col("id").cast("string"), 10, 36)).alias("word"), F.lit(1).cast("bigint").alias("freq"))
+    spark.sparkContext.setJobGroup(f"train {kind}", "")
+    assert len(training.train_merges(df, 30, kind)) == 30
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(f"train {kind}")
+    spark.sparkContext.setJobGroup("", "")
+    return len(jobs)
+
+
+def test_jobs_do_not_grow_with_the_merges(spark):
+    assert jobs_of_training(spark, "bpe") < 20
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.text("aab", min_size=1, max_size=8), st.integers(1, 5)), min_size=1, max_size=12))
 def test_driver_merge_handles_runs(pairs):
