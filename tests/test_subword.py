@@ -120,6 +120,21 @@ def test_dropout_is_lossless_and_repeatable(spark):
     assert all("".join(w["subtokens"]) == x + "</s>" for r in first for w, x in zip(r[0], ["abcabc", "zab"], strict=True))
 
 
+def test_split_looks_up_each_pair_once():
+    class Counted(dict):
+        looked = 0
+
+        def get(self, *args):
+            self.looked += 1
+            return super().get(*args)
+
+    model = models.BPE(["[UNK]"], [(chr(k), chr(k + 1)) for k in range(97, 121, 2)])
+    model.ranks = Counted(model.ranks)
+    word = "abcdefghijklmnopqrstuvwx" * 4
+    assert "".join(model.split(word)) == word + "</s>" and model.ranks.looked <= 4 * len(word)
+    assert models.BPE([], [("a", "a"), ("aa", "a")]).split("aaaaa") == ["aa", "aaa", "</s>"]
+
+
 def test_word_piece_unknown_words():
     model = models.WordPiece(["[UNK]", "</b>", "</b>ab", "c", "b"], longest_word=5)
     assert model.split("abc") == ["</b>ab", "c"]

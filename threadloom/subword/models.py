@@ -123,22 +123,32 @@ class BPE(SubwordModel):
         return cls(list(dict.fromkeys([*start, *(a + b for a, b in found)])), found)
 
     def split(self, word: str, draw: Callable[[], float] | None = None) -> list[str]:
-        symbols = [*word, W.BPE_END]
-        while len(symbols) > 1:
-            best, pair = len(self.ranks), None
-            for candidate in zip(symbols, symbols[1:], strict=False):
-                rank = self.ranks.get(candidate, best)
-                if rank < best and not (draw and draw()):
-                    best, pair = rank, candidate
-            if pair is None:
+        rank, none, symbols = self.ranks.get, len(self.ranks), [*word, W.BPE_END]
+        ranks = [rank(pair, none) for pair in zip(symbols, symbols[1:], strict=False)]
+        while ranks:
+            if draw:
+                best = none
+                for r in ranks:
+                    if r < best and not draw():
+                        best = r
+            else:
+                best = min(ranks)
+            if best == none:
                 break
-            out: list[str] = []
-            for s in symbols:
-                if out and out[-1] == pair[0] and s == pair[1]:
-                    out[-1] = pair[0] + pair[1]
-                else:
-                    out.append(s)
-            symbols = out
+            at = ranks.index(best)
+            whole = symbols[at] + symbols[at + 1]
+            while True:
+                symbols[at : at + 2] = [whole]
+                del ranks[at]
+                if at:
+                    ranks[at - 1] = rank((symbols[at - 1], whole), none)
+                if at == len(ranks):
+                    break
+                ranks[at] = rank((whole, symbols[at + 1]), none)
+                try:
+                    at = ranks.index(best, at)
+                except ValueError:
+                    break
         return symbols
 
     def proper(self) -> bool:
