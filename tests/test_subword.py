@@ -182,6 +182,20 @@ def test_subtoken_places(spark):
     assert [[tuple(p) for p in w] for w in got] == [[("</b>a", 0, 1), ("b", 1, 2)], [("[UNK]", 2, 3)], [("[UNK]", 3, 6)]]
 
 
+def test_places_come_a_few_texts_at_a_time(spark, sf, monkeypatch):
+    """The same places whatever the slice; no array of all subtokens of a text is built."""
+    from threadloom.plans import core_queries as q
+
+    plan = q.bpe_places(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "ArrowEvalPython" not in plan
+    model = models.BPE(["[UNK]", "a", "b"], [("a", "b"), ("ab", "</s>")])
+    df = spark.createDataFrame([(k, ["ab", " ", "aab"]) for k in range(5)] + [(7, []), (8, None)], "k int, t array<string>")
+    for size in (2, 256):
+        monkeypatch.setattr(places, "TEXTS", size)
+        got = [tuple(r) for r in places.subtoken_rows(df, "k", F.col("t"), lambda t: t != " ", model).collect()]
+        assert sorted(got) == [x for k in range(5) for x in ((k, "a", 3, 4), (k, "ab</s>", 0, 2), (k, "ab</s>", 4, 6))]
+
+
 def test_pair_counts_overlap(spark):
     df = spark.createDataFrame([("aaa", 2)], "word string, freq bigint")
     assert {(r["l"], r["r"]): r["n"] for r in words.pair_counts(df).collect()} == {("a", "a"): 4, ("a", "</s>"): 2}

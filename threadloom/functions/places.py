@@ -7,10 +7,12 @@ To point into the text before normalisation, look them up in its alignment (`tex
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PLACED = "array<struct<token:string,start:int,end:int>>"
@@ -68,6 +70,49 @@ def byte_places(text: Column) -> Column:
     return F.arrow_udf("array<int>")(_byte_places)(text)
 
 
+def _room(pieces: pa.Array, n: np.ndarray, sizes: np.ndarray, marks: tuple[str, ...], unknown: str) -> np.ndarray:
+    """Code points that each subtoken takes, for words of these sizes with ``n`` subtokens each."""
+    room = _lengths(pieces)
+    for mark in marks:
+        begins, ends = (f(pieces, mark).to_numpy(zero_copy_only=False) for f in (pc.starts_with, pc.ends_with))
+        room = room - len(mark) * (begins if mark == "</b>" else ends)
+    alone = np.repeat(n == 1, n) & pc.equal(pieces, unknown).to_numpy(zero_copy_only=False)
+    return np.where(alone, np.repeat(sizes, n), room)
+
+
+#: Texts whose subtokens are placed and given on at once.
+TEXTS = 256
+
+
+def subtoken_rows(rows: DataFrame, key: str, tokens: Column, keep, model, marks: tuple[str, ...] = ("</s>", "</b>"), unknown: str = "[UNK]") -> DataFrame:
+    """(key, token, start, end): a row for each subtoken of the pre-tokens for which ``keep(token)`` holds.
+
+    As `placed_subtokens`, but a few texts at a time and as rows, so that neither side ever
+    holds the subtokens of a whole Arrow batch.
+    """
+    ids, mark = model.ids(), model.fingerprint()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, len(batch), TEXTS):
+                part = batch.slice(k, TEXTS)
+                words, counts = part["tokens"].flatten(), _counts(part["tokens"])
+                kept = part["kept"].flatten().to_numpy(zero_copy_only=False)
+                sizes = _lengths(words)
+                start, text = _running(sizes, counts)[kept], np.repeat(np.arange(len(counts)), counts)[kept]
+                if not len(start):
+                    continue
+                parts = model.split_all(words.filter(pa.array(kept)), ids, mark).flatten()[0]
+                n, pieces = _counts(parts), parts.flatten()
+                room = _room(pieces, n, sizes[kept], marks, unknown)
+                at = np.repeat(start, n) + _running(room, n)
+                yield pa.RecordBatch.from_arrays([part[key].take(pa.array(np.repeat(text, n))), pieces, pa.array(at, pa.int32()), pa.array(at + room, pa.int32())], names=[key, "token", "start", "end"])
+
+    rows = rows.select(key, tokens.alias("tokens")).where("tokens IS NOT NULL")
+    kept = F.transform("tokens", lambda t: F.coalesce(keep(t), F.lit(False)))
+    return rows.select(key, "tokens", kept.alias("kept")).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, token string, start int, end int")
+
+
 _INNER = "array<array<struct<token:string,start:int,end:int>>>"
 
 
@@ -85,12 +130,7 @@ def placed_subtokens(tokens: Column, subtokens: Column, marks: tuple[str, ...] =
         sizes = _lengths(flat_words)
         start, n = _running(sizes, counts), _counts(inner)
         pieces = inner.flatten()
-        room = _lengths(pieces)
-        for mark in marks:
-            begins, ends = (f(pieces, mark).to_numpy(zero_copy_only=False) for f in (pc.starts_with, pc.ends_with))
-            room = room - len(mark) * (begins if mark == "</b>" else ends)
-        alone = np.repeat(n == 1, n) & pc.equal(pieces, unknown).to_numpy(zero_copy_only=False)
-        room = np.where(alone, np.repeat(sizes, n), room)
+        room = _room(pieces, n, sizes, marks, unknown)
         at = np.repeat(start, n) + _running(room, n)
         placed = pa.StructArray.from_arrays([pieces, pa.array(at, pa.int32()), pa.array(at + room, pa.int32())], fields=list(_TYPE))
         return _lists(words, _lists(inner, placed, n), counts)

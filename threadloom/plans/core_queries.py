@@ -399,11 +399,7 @@ def bpe_tokenize(spark, sf_dir):
 )
 def bpe_places(spark, sf_dir):
     tokens = text.split_keep(F.col("text"), r"\s+")
-    rows = _docs(spark, sf_dir).select("doc_id", tokens.alias("tokens")).where("tokens IS NOT NULL")
-    parts = _fixed_bpe().tokenize(F.col("tokens"))
-    placed = places.placed_subtokens(F.col("tokens"), F.transform(parts, lambda t: t["subtokens"]))
-    words = F.filter(F.arrays_zip(F.col("tokens").alias("w"), placed.alias("p")), lambda x: ~x["w"].rlike(r"(?U)^\s"))
-    return _placed(rows.select("doc_id", words.alias("z")), F.flatten(F.transform("z", lambda x: x["p"])))
+    return places.subtoken_rows(_docs(spark, sf_dir), "doc_id", tokens, lambda t: ~t.rlike(r"(?U)^\s"), _fixed_bpe())
 
 
 _BPE_IDS = "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in _fixed_bpe().vocabulary) + "]"

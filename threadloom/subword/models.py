@@ -8,7 +8,9 @@ from abc import ABC, abstractmethod
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +20,10 @@ from threadloom.session import materialise
 from threadloom.subword import words as W
 from threadloom.subword.training import train_merges
 
+#: Subtokens of the splits that a worker process keeps.
 CACHE = 1 << 20
+#: Words of a batch that are split and written at once.
+SLICE = 1 << 16
 LONGEST_WORD = 100
 #: Delimiters of the replayed merge; they must not occur in the text.
 OPEN, SHUT = "\ue001", "\ue002"
@@ -44,7 +49,8 @@ class SubwordModel(ABC):
         """array of struct(subtokens, ids), one for each pre-token of an array column.
 
         A worker process keeps the splits of the words it has seen, for all batches and
-        tasks of the same model, up to `CACHE` words. With ``dropout`` every
+        tasks of the same model, up to `CACHE` subtokens. The result is built as Arrow arrays,
+        `SLICE` words at a time, without a Python object for each subtoken of a batch. With ``dropout`` every
         possible merge is left out with that probability; the draws come from a hash of
         ``seed``, ``key`` and the word's place, so a lost task repeats them.
         """
@@ -52,31 +58,42 @@ class SubwordModel(ABC):
             raise ValueError("dropout needs a key column to draw from")
         model, ids, mark = self, self.ids(), self.fingerprint()
 
-        @F.pandas_udf(_RESULT)
-        def run(arrays: pd.Series, keys: pd.Series) -> pd.Series:
-            cache = _cache_of(mark)
-
-            def one(word: str, key, place: int):
-                if dropout:
-                    rng = random.Random(xxhash.xxh64_intdigest(f"{seed}|{key}|{place}"))
-                    parts = model.split(word, lambda: rng.random() < dropout)
-                    return parts, [ids.get(p, 0) for p in parts]
-                if word not in cache:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    parts = model.split(word)
-                    cache[word] = parts, [ids.get(p, 0) for p in parts]
-                return cache[word]
-
-            def row(array, key):
-                if array is None:
-                    return None
-                return [dict(zip(("subtokens", "ids"), one(w, key, k), strict=True)) for k, w in enumerate(array)]
-
-            return pd.Series([row(a, k) for a, k in zip(arrays, keys, strict=True)])
+        def drawn(words: pa.Array, keys: list, places: list[int]) -> pa.Array:
+            parts = []
+            for word, key, place in zip(words.to_pylist(), keys, places, strict=True):
+                rng = random.Random(xxhash.xxh64_intdigest(f"{seed}|{key}|{place}"))
+                parts.append(model.split(word, lambda rng=rng: rng.random() < dropout))
+            return _lists(parts, ids)
+
+        @F.arrow_udf(_RESULT)
+        def run(arrays: pa.Array, keys: pa.Array) -> pa.Array:
+            words, counts = arrays.flatten(), pc.fill_null(pc.list_value_length(arrays), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            offsets, out = np.r_[0, np.cumsum(counts)], []
+            rows = np.repeat(np.arange(len(counts)), counts) if dropout else None
+            for k in range(0, len(words), SLICE):
+                part = words.slice(k, SLICE)
+                if rows is None:
+                    out.append(model.split_all(part, ids, mark))
+                else:
+                    row = rows[k : k + SLICE]
+                    out.append(drawn(part, keys.take(pa.array(row)).to_pylist(), (np.arange(k, k + len(row)) - offsets[row]).tolist()))
+            values = pa.concat_arrays(out) if out else _lists([], ids)
+            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=pc.is_null(arrays) if arrays.null_count else None)
 
         return F.when(tokens.isNotNull(), run(tokens, key if key is not None else F.lit(0)))
 
+    def split_all(self, words: pa.Array, ids: dict[str, int], mark: int) -> pa.Array:
+        """struct(subtokens, ids) of words; each distinct one is split once, then taken to its places."""
+        cache, coded = _cache_of(mark), words.dictionary_encode()
+        parts = []
+        for word in coded.dictionary.to_pylist():
+            found = cache.get(word)
+            if found is None:
+                found = self.split(word)
+                cache.keep(word, found)
+            parts.append(found)
+        return _lists(parts, ids).take(coded.indices)
+
     def encode(self, tokens: Column, **kwargs) -> Column:
         """Flat ids of all subtokens."""
         return F.flatten(F.transform(self.tokenize(tokens, **kwargs), lambda t: t["ids"]))
@@ -92,17 +109,38 @@ def _start_vocabulary(words: DataFrame, mark: str, special: dict[str, str]) -> l
     return list(dict.fromkeys([*special.values(), *chars, mark]))
 
 
+class _Cache(dict[str, list[str]]):
+    """Splits of words, emptied when they have more than `CACHE` subtokens."""
+
+    size = 0
+
+    def keep(self, word: str, parts: list[str]) -> None:
+        if self.size + len(parts) > CACHE:
+            self.clear()
+            self.size = 0
+        self[word] = parts
+        self.size += len(parts)
+
+
 #: Splits by model, kept by a worker process; those of one model at a time.
-_CACHES: dict[int, dict[str, tuple[list[str], list[int]]]] = {}
+_CACHES: dict[int, _Cache] = {}
 
 
-def _cache_of(mark: int) -> dict[str, tuple[list[str], list[int]]]:
+def _cache_of(mark: int) -> _Cache:
     if mark not in _CACHES:
         _CACHES.clear()
-        _CACHES[mark] = {}
+        _CACHES[mark] = _Cache()
     return _CACHES[mark]
 
 
+def _lists(parts: list[list[str]], ids: dict[str, int]) -> pa.Array:
+    """struct(subtokens, ids) for each list of subtokens."""
+    offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in parts], dtype=np.int64)], pa.int32())
+    flat = [p for x in parts for p in x]
+    numbers = pa.array([ids.get(p, 0) for p in flat], pa.int32())
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(flat, pa.string())), pa.ListArray.from_arrays(offsets, numbers)], names=["subtokens", "ids"])
+
+
 @dataclass
 class BPE(SubwordModel):
     """Byte-pair model: merges in order, applied by lowest rank first."""
@@ -183,7 +221,10 @@ class WordPiece(SubwordModel):
 
     def __post_init__(self) -> None:
         self.known = frozenset(self.vocabulary)
-        self.longest = max(map(len, self.vocabulary), default=0)
+        by_start: dict[str, set[int]] = {}
+        for token in self.known:
+            by_start.setdefault(token[:2], set()).add(len(token))
+        self.sizes = {start: sorted(sizes, reverse=True) for start, sizes in by_start.items()}
 
     @classmethod
     def fit(cls, words: DataFrame, merges: float = 0.35, special: dict[str, str] = SPECIAL, **kwargs) -> WordPiece:
@@ -199,8 +240,8 @@ class WordPiece(SubwordModel):
             return [unknown]
         rest, at, out = W.PIECE_START + word, 0, []
         while at < len(rest):
-            for size in range(min(self.longest, len(rest) - at), 0, -1):
-                if rest[at : at + size] in self.known:
+            for size in (*self.sizes.get(rest[at : at + 2], ()), 1):
+                if size <= len(rest) - at and rest[at : at + size] in self.known:
                     out.append(rest[at : at + size])
                     at += size
                     break
