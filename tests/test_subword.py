@@ -135,6 +135,19 @@ def test_split_looks_up_each_pair_once():
     assert models.BPE([], [("a", "a"), ("aa", "a")]).split("aaaaa") == ["aa", "aaa", "</s>"]
 
 
+def test_word_piece_tries_only_lengths_that_occur():
+    class Counted(frozenset):
+        tried = 0
+
+        def __contains__(self, x):
+            Counted.tried += 1
+            return super().__contains__(x)
+
+    model = models.WordPiece(["[UNK]", "</b>", *"abcdefghij", "xy" * 45])
+    model.known = Counted(model.known)
+    assert model.split("abcdefghij" * 5) == ["</b>", *"abcdefghij" * 5] and Counted.tried <= 60
+
+
 def test_word_piece_unknown_words():
     model = models.WordPiece(["[UNK]", "</b>", "</b>ab", "c", "b"], longest_word=5)
     assert model.split("abc") == ["</b>ab", "c"]
