@@ -90,6 +90,10 @@ def test_jobs_do_not_grow_with_the_merges(spark):
     assert jobs_of_training(spark, "bpe") < 20
 
 
+def test_jobs_of_word_pieces_do_not_grow_with_the_merges(spark):
+    assert jobs_of_training(spark, "piece") < 20
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.text("aab", min_size=1, max_size=8), st.integers(1, 5)), min_size=1, max_size=12))
 def test_driver_merge_handles_runs(pairs):
