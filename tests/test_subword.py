@@ -1,3 +1,4 @@
+import heapq
 import random
 
 import pytest
@@ -76,6 +77,37 @@ def test_flat_arrays_equal_recounting(monkeypatch):
                 assert got == plain_merges(counts, 50, kind)
 
 
+def test_score_bounds_equal_recounting(monkeypatch):
+    """Counts that are bounded loosely or exactly, that fall, and symbols made in two ways."""
+    for slack in (2, 3, 8):
+        monkeypatch.setattr(training._ByScore, "SLACK", slack)
+        for seed in range(15):
+            rng = random.Random(seed)
+            counts = {"".join(rng.choices("01234abxyzé", [9, 8, 7, 6, 5, 4, 3, 2, 1, 1, 1], k=rng.randrange(1, 9))): rng.choice([1, 1, 1, 2, 3, 70, 900]) for _ in range(150)}
+            state, got = training._Corpus(list(counts), list(counts.values()), "piece"), []
+            while len(got) < 90 and (p := state.best()):
+                state.merge(p)
+                got.append(p)
+            assert got == plain_merges(counts, 90, "piece")
+
+
+def test_pairs_of_frequent_symbols_are_not_entered_for_each_merge(monkeypatch):
+    entered = []
+
+    class Counted:
+        heappop, heapify, heapreplace = staticmethod(heapq.heappop), staticmethod(heapq.heapify), staticmethod(lambda heap, x: (entered.append(x), heapq.heapreplace(heap, x))[1])
+        heappush = staticmethod(lambda heap, x: (entered.append(x), heapq.heappush(heap, x))[1])
+
+    numbers = [str(k) for k in range(1000, 10_000)]
+    tails = ["".join(chr(0x4E00 + 3 * k + x) for x in range(3)) for k in range(1000)]
+    words = [*numbers, *(n + t for n, t in zip(numbers, tails, strict=False))]
+    state = training._Corpus(words, [50] * len(numbers) + [1] * len(tails), "piece")
+    monkeypatch.setattr(training, "heapq", Counted)
+    for _ in range(4000):
+        state.merge(state.best())
+    assert len(entered) < 4 * 4000
+
+
 def jobs_of_training(spark, kind):
     """Spark jobs that 30 merges over 550,000 distinct words take."""
     df = spark.range(550_000).select(F.lower(F.conv(F.col("id").cast("string"), 10, 36)).alias("word"), F.lit(1).cast("bigint").alias("freq"))
