@@ -184,6 +184,21 @@ def test_word_piece_tries_only_lengths_that_occur():
     assert model.split("abcdefghij" * 5) == ["</b>", *"abcdefghij" * 5] and Counted.tried <= 60
 
 
+def test_first_pieces_are_looked_up_behind_the_mark():
+    class Counted(frozenset):
+        tried = 0
+
+        def __contains__(self, x):
+            Counted.tried += 1
+            return super().__contains__(x)
+
+    model = models.WordPiece(["[UNK]", "</b>", "</b>q", "</b>qrst", *"qrstu", *("</b>" + "abcdefghij"[k % 10] * k for k in range(4, 90))])
+    model.known = Counted(model.known)
+    assert model.split("qrstu" * 15) == ["</b>qrst", "u", *"qrstu" * 14] and Counted.tried <= 80
+    assert model.split("q") == ["</b>q"] and model.split("qr") == ["</b>q", "r"] and model.split("eeee") == ["</b>eeee"]
+    assert model.split("eee") == ["[UNK]"] and model.split("") == ["</b>"]
+
+
 def test_word_piece_unknown_words():
     model = models.WordPiece(["[UNK]", "</b>", "</b>ab", "c", "b"], longest_word=5)
     assert model.split("abc") == ["</b>ab", "c"]

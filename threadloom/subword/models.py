@@ -25,6 +25,9 @@ CACHE = 1 << 20
 #: Words of a batch that are split and written at once.
 SLICE = 1 << 16
 LONGEST_WORD = 100
+#: Letters by which word pieces are looked up, the long and the short ones; every first piece
+#: begins with the mark, so the long ones go on behind it.
+STARTS = (len(W.PIECE_START) + 4, 2)
 #: Delimiters of the replayed merge; they must not occur in the text.
 OPEN, SHUT = "\ue001", "\ue002"
 _RESULT = "array<struct<subtokens:array<string>,ids:array<int>>>"
@@ -223,7 +226,7 @@ class WordPiece(SubwordModel):
         self.known = frozenset(self.vocabulary)
         by_start: dict[str, set[int]] = {}
         for token in self.known:
-            by_start.setdefault(token[:2], set()).add(len(token))
+            by_start.setdefault(token[: STARTS[0] if len(token) >= STARTS[0] else STARTS[1]], set()).add(len(token))
         self.sizes = {start: sorted(sizes, reverse=True) for start, sizes in by_start.items()}
 
     @classmethod
@@ -238,9 +241,9 @@ class WordPiece(SubwordModel):
         unknown = self.vocabulary[0]
         if len(word) > self.longest_word:
             return [unknown]
-        rest, at, out = W.PIECE_START + word, 0, []
+        rest, at, out, sizes, (long, short) = W.PIECE_START + word, 0, [], self.sizes.get, STARTS
         while at < len(rest):
-            for size in (*self.sizes.get(rest[at : at + 2], ()), 1):
+            for size in (*sizes(rest[at : at + long], ()), *sizes(rest[at : at + short], ()), 1):
                 if size <= len(rest) - at and rest[at : at + size] in self.known:
                     out.append(rest[at : at + size])
                     at += size
