@@ -199,6 +199,19 @@ def test_first_pieces_are_looked_up_behind_the_mark():
     assert model.split("eee") == ["[UNK]"] and model.split("") == ["</b>"]
 
 
+def test_encoding_leaves_the_subtokens_in_python(spark):
+    piece, bpe = models.WordPiece(["[UNK]", "</b>", "</b>ab", "c", "b"]), models.BPE(["[UNK]", "a", "b", "ab"], [("a", "b")])
+    rows = [(0, ["abc", "abx", ""]), (1, []), (2, None), (3, ["b"] * 5)]
+    df = spark.createDataFrame(rows, "k int, t array<string>")
+    drawn = {"key": F.col("k"), "dropout": 0.5, "seed": 3}
+    for model, options in ((piece, {}), (bpe, {}), (bpe, drawn)):
+        encoded = df.select("k", model.encode(F.col("t"), **options).alias("ids"))
+        assert "subtokens" not in encoded._jdf.queryExecution().optimizedPlan().toJSON()
+        asked = df.select("k", F.flatten(F.transform(model.tokenize(F.col("t"), **options), lambda t: t["ids"])).alias("ids"))
+        assert sorted(encoded.collect()) == sorted(asked.collect())
+    assert {r["k"]: r["ids"] for r in df.select("k", piece.encode(F.col("t")).alias("ids")).collect()} == {0: [2, 3, 0, 1], 1: [], 2: None, 3: [1, 4] * 5}
+
+
 def test_word_piece_unknown_words():
     model = models.WordPiece(["[UNK]", "</b>", "</b>ab", "c", "b"], longest_word=5)
     assert model.split("abc") == ["</b>ab", "c"]

@@ -31,6 +31,7 @@ STARTS = (len(W.PIECE_START) + 4, 2)
 #: Delimiters of the replayed merge; they must not occur in the text.
 OPEN, SHUT = "\ue001", "\ue002"
 _RESULT = "array<struct<subtokens:array<string>,ids:array<int>>>"
+_IDS = "array<array<int>>"
 
 
 class SubwordModel(ABC):
@@ -57,6 +58,10 @@ class SubwordModel(ABC):
         possible merge is left out with that probability; the draws come from a hash of
         ``seed``, ``key`` and the word's place, so a lost task repeats them.
         """
+        return self._split_column(tokens, key, dropout, seed, _RESULT, lambda found: found)
+
+    def _split_column(self, tokens: Column, key: Column | None, dropout: float, seed: int, schema: str, keep: Callable[[pa.Array], pa.Array]) -> Column:
+        """An array column of what ``keep`` takes from the struct(subtokens, ids) of the words."""
         if dropout and key is None:
             raise ValueError("dropout needs a key column to draw from")
         model, ids, mark = self, self.ids(), self.fingerprint()
@@ -68,7 +73,7 @@ class SubwordModel(ABC):
                 parts.append(model.split(word, lambda rng=rng: rng.random() < dropout))
             return _lists(parts, ids)
 
-        @F.arrow_udf(_RESULT)
+        @F.arrow_udf(schema)
         def run(arrays: pa.Array, keys: pa.Array) -> pa.Array:
             words, counts = arrays.flatten(), pc.fill_null(pc.list_value_length(arrays), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             offsets, out = np.r_[0, np.cumsum(counts)], []
@@ -76,11 +81,11 @@ class SubwordModel(ABC):
             for k in range(0, len(words), SLICE):
                 part = words.slice(k, SLICE)
                 if rows is None:
-                    out.append(model.split_all(part, ids, mark))
+                    out.append(keep(model.split_all(part, ids, mark)))
                 else:
                     row = rows[k : k + SLICE]
-                    out.append(drawn(part, keys.take(pa.array(row)).to_pylist(), (np.arange(k, k + len(row)) - offsets[row]).tolist()))
-            values = pa.concat_arrays(out) if out else _lists([], ids)
+                    out.append(keep(drawn(part, keys.take(pa.array(row)).to_pylist(), (np.arange(k, k + len(row)) - offsets[row]).tolist())))
+            values = pa.concat_arrays(out) if out else keep(_lists([], ids))
             return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=pc.is_null(arrays) if arrays.null_count else None)
 
         return F.when(tokens.isNotNull(), run(tokens, key if key is not None else F.lit(0)))
@@ -97,9 +102,9 @@ class SubwordModel(ABC):
             parts.append(found)
         return _lists(parts, ids).take(coded.indices)
 
-    def encode(self, tokens: Column, **kwargs) -> Column:
-        """Flat ids of all subtokens."""
-        return F.flatten(F.transform(self.tokenize(tokens, **kwargs), lambda t: t["ids"]))
+    def encode(self, tokens: Column, key: Column | None = None, dropout: float = 0.0, seed: int = 0) -> Column:
+        """Flat ids of all subtokens; the subtokens themselves stay in the worker process."""
+        return F.flatten(self._split_column(tokens, key, dropout, seed, _IDS, lambda found: found.field("ids")))
 
     def vocabulary_frame(self, spark: SparkSession) -> DataFrame:
         names = {t: n for n, t in SPECIAL.items()}
